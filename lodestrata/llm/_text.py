@@ -36,12 +36,12 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o.astype(np.int64)
 
 
-def blocks(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(arr: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of each block."""
     d, o = utf8(arr)
     i, n = 0, len(o) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(o, o[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
         yield i, j, d[o[i] : o[j]], o[i : j + 1] - o[i]
         i = j
 

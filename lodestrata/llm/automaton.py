@@ -2,11 +2,13 @@
 
 Syntax: literals, ``\\`` escapes (``\\d \\w \\s`` in ASCII), ``.`` (any byte but a
 newline), classes, groups, ``|``, ``? * +`` and ``{m} {m,} {m,n}``.  Characters
-are ASCII.  Matching is leftmost, then longest.
+are ASCII.  A match begins at the text's start or after a byte that is no
+letter, digit or ``_``.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,8 @@ WORDS = frozenset([*range(48, 58), *range(65, 91), *range(97, 123), 95])
 SPACES = frozenset([9, 10, 11, 12, 13, 32])
 ALL = frozenset(range(256))
 ESCAPES = {"d": DIGIT, "w": WORDS, "s": SPACES, "D": ALL - DIGIT, "W": ALL - WORDS, "S": ALL - SPACES, "n": frozenset([10]), "t": frozenset([9]), "r": frozenset([13])}
+IS_WORD = np.zeros(256, bool)
+IS_WORD[[*WORDS]] = True
 
 
 class Parser:
@@ -33,10 +37,16 @@ class Parser:
     def peek(self) -> str:
         return self.t[self.i : self.i + 1]
 
+    def take(self) -> str:
+        if self.i >= len(self.t):
+            raise ValueError(f"{self.t!r} ends too early")
+        self.i += 1
+        return self.t[self.i - 1]
+
     def alt(self):
         items = [self.cat()]
         while self.peek() == "|":
-            self.i += 1
+            self.take()
             items.append(self.cat())
         return items[0] if len(items) == 1 else ("alt", items)
 
@@ -47,50 +57,277 @@ class Parser:
         return ("cat", items)
 
     def repeat(self, item):
-        while (c := self.peek()) and c in "?*+{":
-            self.i += 1
+        while self.peek() and self.peek() in "?*+{":
+            c = self.take()
             if c == "{":
-                inside, _, rest = self.t[self.i :].partition("}")
-                self.i = len(self.t) - len(rest)
+                inside = ""
+                while (x := self.take()) != "}":
+                    inside += x
                 m, comma, n = inside.partition(",")
                 item = ("rep", item, int(m), int(n) if n else None if comma else int(m))
             else:
                 item = ("rep", item, int(c == "+"), 1 if c == "?" else None)
         return item
 
-    def escape(self) -> frozenset:
-        c = self.t[self.i + 1]
-        self.i += 2
-        return ESCAPES[c] if c in ESCAPES else frozenset([ord(c)])
+    def one(self) -> frozenset:
+        c = self.take()
+        if c != "\\":
+            return frozenset([ord(c)])
+        c = self.take()
+        return ESCAPES.get(c) or frozenset([ord(c)])
 
     def atom(self):
         c = self.peek()
         if c == "(":
             self.i += 3 if self.t.startswith("(?:", self.i) else 1
             tree = self.alt()
-            if self.peek() != ")":
+            if self.take() != ")":
                 raise ValueError(f"missing ) in {self.t!r}")
-            self.i += 1
             return tree
-        if c == "\\":
-            return ("set", self.escape())
-        self.i += 1
         if c == ".":
+            self.take()
             return ("set", ALL - {10})
         if c != "[":
-            return ("set", frozenset([ord(c)]))
+            return ("set", self.one())
+        self.take()
         negated = self.peek() == "^"
         self.i += negated
         got: set[int] = set()
         while self.peek() != "]":
-            one = self.escape() if self.peek() == "\\" else frozenset([ord(self.peek())])
-            if self.t[self.i - 1] != "\\" and len(one) == 1 and ord(self.t[self.i]) in one and self.peek() != "\\":
-                self.i += 1
-            if self.peek() == "-" and self.t[self.i + 1] != "]" and len(one) == 1:
-                self.i += 1
-                hi = self.escape() if self.peek() == "\\" else frozenset([ord(self.peek())])
-                self.i += self.t[self.i - 2] != "\\" if False else (0 if self.t[self.i - 1] != "-" else 1)
-                one = frozenset(range(min(one), min(hi) + 1))
-            got |= one
-        self.i += 1
+            part = self.one()
+            if self.peek() == "-" and self.t[self.i + 1 : self.i + 2] != "]" and len(part) == 1:
+                self.take()
+                part = frozenset(range(min(part), max(self.one()) + 1))
+            got |= part
+        self.take()
         return ("set", ALL - got if negated else frozenset(got))
+
+
+class Nfa:
+    def __init__(self):
+        self.eps: list[list[int]] = []
+        self.step: list[tuple[frozenset, int] | None] = []
+
+    def state(self) -> int:
+        self.eps.append([])
+        self.step.append(None)
+        return len(self.eps) - 1
+
+    def add(self, tree, start: int) -> int:
+        """Adds tree after start; its last state."""
+        kind, arg = tree[0], tree[1]
+        if kind == "set":
+            end = self.state()
+            s = self.state()
+            self.eps[start].append(s)
+            self.step[s] = (arg, end)
+            return end
+        if kind == "cat":
+            for x in arg:
+                start = self.add(x, start)
+            return start
+        end = self.state()
+        if kind == "alt":
+            for x in arg:
+                self.eps[self.add(x, start)].append(end)
+            return end
+        _, item, m, n = tree
+        for _ in range(m):
+            start = self.add(item, start)
+        if n is None:
+            loop = self.state()
+            self.eps[start].append(loop)
+            self.eps[self.add(item, loop)].append(loop)
+            self.eps[loop].append(end)
+        else:
+            self.eps[start].append(end)
+            for _ in range(n - m):
+                start = self.add(item, start)
+                self.eps[start].append(end)
+        return end
+
+    def closure(self, states) -> frozenset:
+        todo = list(states)
+        seen = set(todo)
+        while todo:
+            for x in self.eps[todo.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return frozenset(seen)
+
+
+@dataclass
+class Dfa:
+    """next state = table[state + cls[byte]]; states are multiples of the number of classes.
+
+    State 0 is dead.  Accepting states are those from ``accepting`` on; ``rule``
+    (by state // classes) is the first rule accepted, -1 if none.
+    """
+
+    table: np.ndarray
+    cls: np.ndarray
+    start: int
+    accepting: int
+    rule: np.ndarray
+
+    @property
+    def classes(self) -> int:
+        return int(self.cls.max()) + 1
+
+
+def relaxed(tree, most: int):
+    """A tree that matches all that ``tree`` does, and counts no further than ``most``."""
+    kind, arg = tree[0], tree[1]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        _, item, m, n = tree
+        return ("rep", relaxed(item, most), min(m, most), n if n == 1 else None)
+    return (kind, [relaxed(x, most) for x in arg])
+
+
+def determine(nfa: Nfa, first: frozenset, accepts: dict[int, int], absorb: bool = False, limit: int = 50_000) -> Dfa:
+    """Subset construction and minimisation.  With ``absorb``, whatever follows a match is accepted."""
+    won = frozenset(list(accepts)[:1])
+    sets = [s[0] for s in nfa.step if s]
+    kinds: dict[tuple, int] = {}
+    cls = np.array([kinds.setdefault(tuple(b in s for s in set(sets)), len(kinds)) for b in range(256)])
+    byte_of = [int(np.flatnonzero(cls == c)[0]) for c in range(len(kinds))]
+    # Subsets hold the states that step on or accept; after[s]: (class, subset reached) of each state s.
+    useful = {s for s, x in enumerate(nfa.step) if x} | accepts.keys()
+    after = {s: [(c, nfa.closure([x[1]]) & useful) for c, b in enumerate(byte_of) if b in x[0]] for s, x in enumerate(nfa.step) if x}
+    first = frozenset(first & useful)
+    ids, todo, rows, rules = {frozenset(): 0, first: 1}, [frozenset(), first], [], []
+    for subset in todo:  # grows
+        rules.append(min((accepts[s] for s in subset if s in accepts), default=-1))
+        reached: list[set] = [set() for _ in byte_of]
+        for s in subset:
+            for c, to in after.get(s, ()):
+                reached[c] |= to
+        row = []
+        for got in reached:
+            to = won if absorb and (subset == won or not accepts.keys().isdisjoint(got)) else frozenset(got)
+            if to not in ids:
+                ids[to] = len(todo)
+                todo.append(to)
+                if len(todo) > limit:
+                    raise ValueError("the rules need too many states")
+            row.append(ids[to])
+        rows.append(row)
+    t, rule = np.array(rows), np.array(rules)
+    block = np.unique(rule, return_inverse=True)[1]
+    while True:  # Moore: split blocks until successors agree
+        sign = np.column_stack([block, block[t]])
+        new = np.unique(sign, axis=0, return_inverse=True)[1].ravel()
+        if new.max() == block.max():
+            break
+        block = new
+    n = int(block.max()) + 1
+    rep = np.zeros(n, int)
+    rep[block[::-1]] = np.arange(len(block))[::-1]
+    order = sorted(range(n), key=lambda b: (rule[rep[b]] >= 0, b != block[0]))  # dead first, accepting last
+    place = np.argsort(order)
+    c = len(kinds)
+    table = (place[block[t[rep[order]]]] * c).astype(np.int32).ravel()
+    new_rule = rule[rep[order]]
+    return Dfa(table, cls.astype(np.int32), int(place[block[1]]) * c, int((new_rule < 0).sum()) * c, new_rule)
+
+
+def compiled(rules: list[str], most: int = 3) -> tuple[Dfa, Dfa]:
+    """(automaton that tells whether a text may hold a match, automaton of the matches from a given start).
+
+    The first one runs over everything.  Deciding every place at once with exact
+    counts would need states beyond number, so it counts repetitions no further
+    than ``most``: it never misses a match, and the second one, which is exact, has the last word.
+    """
+    made = []
+    for whole in (True, False):
+        nfa = Nfa()
+        head, word, other = nfa.state(), nfa.state(), nfa.state()
+        accepts = {}
+        for k, r in enumerate(rules):
+            tree = Parser(r).parse()
+            start = nfa.state()
+            nfa.eps[head].append(start)
+            end = nfa.add(relaxed(tree, most) if whole else tree, start)
+            if end in nfa.closure([start]):
+                raise ValueError(f"{r!r} matches nothing at all")
+            accepts[end] = k
+        nfa.eps[other].append(head)
+        for s in (word, other):  # what the last byte was
+            for to, of in ((word, WORDS), (other, ALL - WORDS)):
+                x = nfa.state()
+                nfa.eps[s].append(x)
+                nfa.step[x] = (of, to)
+        made.append(determine(nfa, nfa.closure([other if whole else head]), accepts, absorb=whole))
+    return made[0], made[1]
+
+
+def hits(dfa: Dfa, d: np.ndarray, o: np.ndarray, lanes: int = 24) -> np.ndarray:
+    """Which documents of a block may hold a match: one pass over every byte.
+
+    Documents run side by side, one array step a byte; the few longest go on
+    alone once fewer than ``lanes`` are left, from the state they had reached.
+    """
+    n = np.diff(o)
+    order = np.argsort(-n, kind="stable")
+    at, size = o[:-1][order], n[order]
+    found = np.zeros(len(n), bool)
+    code = dfa.cls[d]
+    state = np.full(len(n), dfa.start, np.int32)
+    j, live = 0, len(n)
+    falling = np.sort(size)
+    while True:
+        live = len(n) - int(np.searchsorted(falling, j, "right"))
+        if live < lanes:
+            break
+        stop = int(size[live - 1])  # all these lanes reach so far
+        s, base, seen = state[:live], at[:live], np.zeros(live, bool)
+        for k in range(j, stop):
+            s = dfa.table[s + code[base + k]]
+            seen |= s >= dfa.accepting
+        state[:live] = s
+        found[order[:live]] |= seen
+        j = stop
+    table, accepting = None, dfa.accepting
+    for lane in range(live):
+        if found[order[lane]]:
+            continue
+        table = table or dfa.table.tolist()
+        s = int(state[lane])
+        for c in code[at[lane] + j : at[lane] + size[lane]].tolist():
+            s = table[s + c]
+            if s >= accepting:
+                found[order[lane]] = True
+                break
+    return found
+
+
+def spans(dfa: Dfa, d: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of the leftmost, then longest matches of one document, apart from each other.
+
+    All starts advance together; most die on their first byte.
+    """
+    ok = np.ones(len(d), bool)
+    ok[1:] = ~IS_WORD[d[:-1]]
+    start = np.flatnonzero(ok)
+    s = np.full(len(start), dfa.start, np.int32)
+    best = np.zeros(len(d), np.int64)
+    rule = np.full(len(d), -1)
+    k = 0
+    code = dfa.cls[d]
+    while len(start):
+        s = dfa.table[s + code[start + k]]
+        k += 1
+        acc = s >= dfa.accepting
+        best[start[acc]] = start[acc] + k
+        rule[start[acc]] = dfa.rule[s[acc] // dfa.classes]
+        live = (s > 0) & (start + k < len(d))
+        start, s = start[live], s[live]
+    out, last = [], 0
+    for i in np.flatnonzero(best).tolist():
+        if i >= last:
+            last = int(best[i])
+            out.append((i, last, int(rule[i])))
+    return out
