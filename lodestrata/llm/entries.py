@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, quality, secrets, urls
+from . import fingerprints, mixing, neardup, packing, quality, secrets, sentences, suffixes, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,28 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_quality_classifier, op4_url_filter, op5_minhash_near_dedup, op7_secret_scan)}
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.SQL}
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_quality_classifier, op4_url_filter, op5_minhash_near_dedup, op6_sentence_dedup, op7_secret_scan, op8_suffix_array_dedup, op9_exact_topk, op10_fingerprints)
+}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.SQL, "op9_exact_topk": topk.SQL}
