@@ -212,10 +212,20 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each group one row stays, with all its columns."""
-    g = groups(docs, **options).select(F.col("doc_id").alias("__lode_id"))
+    """docs without near duplicates: of each group one row stays, with all its columns.
+
+    Texts are shuffled once, by doc_id, and never sorted.  Only rows that repeat
+    a doc_id, if there are any, go another way, where the least text hash stays.
+    """
+    scratch = Scratch(docs.sparkSession)
     known = docs.where("doc_id is not null and text is not null")
-    kept = known.join(g.hint("shuffle_hash"), known["doc_id"] == g["__lode_id"], "left_anti")
+    rest = docs.where("doc_id is null or text is null").select(*docs.columns)
+    twice = scratch.table(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    g = scratch.table(groups(docs, **options).select("doc_id"))
+    lone = known.join(g.union(twice).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns).union(rest)
+    if twice.isEmpty():
+        return lone
     w = Window.partitionBy("doc_id").orderBy("__lode_h")
-    kept = kept.withColumn("__lode_h", F.xxhash64("text")).withColumn("__lode_n", F.row_number().over(w)).where("__lode_n = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null or text is null").select(*docs.columns))
+    more = known.join(twice, "doc_id", "left_semi").join(g, "doc_id", "left_anti")
+    more = more.withColumn("__lode_h", F.xxhash64("text")).withColumn("__lode_n", F.row_number().over(w)).where("__lode_n = 1")
+    return lone.union(more.select(*docs.columns))
