@@ -81,7 +81,7 @@ def grams(arr: pa.Array, salt: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(full), U)
     for k in range(max(SIZES)):
         shifted = np.zeros(len(full), U)
-        shifted[: len(full) - k or None] = full[k:]
+        shifted[: max(len(full) - k, 0)] = full[k:]
         h = h * U(0x100000001B3) + shifted + U(1)
         if k + 1 in SIZES:
             ok = left >= k + 1
