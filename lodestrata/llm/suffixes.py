@@ -6,8 +6,9 @@ A text is its sequence of words (ASCII case and all between words ignored).
 their inner ``GRAM``-word runs.  So texts are cut to stretches of starts that
 share this minimum, overlapping so that every run lies whole in one, and
 stretches meet by their minimum.  Equal stretches are one, known by a hash and
-their first occurrence; only different stretches of one minimum have anything
-left to compare, and only those are read again.
+their first occurrence; only different stretches of one minimum, and stretches that
+hold it twice and so may repeat themselves, have anything left to compare, and
+only those are read again.
 
 *Comparison.*  The stretches of many minima together form one word sequence with
 a suffix array and a Burrows-Wheeler transform.  Intervals of suffixes are
@@ -135,7 +136,10 @@ def equal_runs(stretches: list[np.ndarray], least: int) -> tuple[np.ndarray, np.
 
 
 def stretches(d: np.ndarray, o: np.ndarray, least: int, gram: int):
-    """(document, minimum, first word, words, hash of the words) of each stretch of a block; its words."""
+    """(document, minimum, first word, 2 * words, hash of the words) of each stretch of a block; its words.
+
+    Where the minimum stands more than once in a stretch, 2 * words + 1.
+    """
     w = Words(lowered(d), o)
     n = len(w.hash)
     p = powers(BASE, n + 1)
@@ -165,7 +169,15 @@ def stretches(d: np.ndarray, o: np.ndarray, least: int, gram: int):
     new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(a)) - 1
-    return doc[i], m[i].view(np.int64), a[i] - w.of[doc[i]], a[j] + least - a[i], span(a[i], a[j] + least).view(np.int64) if len(i) else np.zeros(0, np.int64), w
+    if not len(i):
+        return (np.zeros(0, np.int64),) * 5 + (w,)
+    n = a[j] + least - a[i]
+    inner = n - gram + 1
+    at = ranges(a[i], inner)
+    first = np.zeros(len(inner), np.int64)
+    np.cumsum(inner[:-1], out=first[1:])
+    twice = np.add.reduceat((g[at] == np.repeat(m[i], inner)).astype(np.int64), first) > 1
+    return doc[i], m[i].view(np.int64), a[i] - w.of[doc[i]], 2 * n + twice, span(a[i], a[j] + least).view(np.int64), w
 
 
 ROW = T.ArrayType(T.StructType().add("m", T.LongType()).add("c", T.LongType()).add("place", T.LongType()))
@@ -174,7 +186,7 @@ ROW = T.ArrayType(T.StructType().add("m", T.LongType()).add("c", T.LongType()).a
 def listing(least: int, gram: int):
     @arrow_udf(ROW)
     def stretches_of(text: pa.Array) -> pa.Array:
-        """Each text's stretches, the place being first word * 2^32 + words."""
+        """Each text's stretches, the place being first word * 2^32 + 2 * words (+ 1)."""
         sizes, cols = [], [[], [], []]
         for i, j, d, o in blocks(text):
             doc, m, a, n, c, _ = stretches(d, o, least, gram)
@@ -205,7 +217,7 @@ def words_at(text: pa.Array, places: pa.Array, hashes: pa.Array) -> pa.Array:
         w = Words(lowered(d), o)
         for k in range(i, j):
             h = w.hash[w.of[k - i] : w.of[k - i + 1]]
-            cuts = [h[p >> 32 : (p >> 32) + (p & (1 << 32) - 1)] for p in places[k].as_py()]
+            cuts = [h[p >> 32 : (p >> 32) + ((p & (1 << 32) - 1) >> 1)] for p in places[k].as_py()]
             out.append([x.tobytes() if hash_of(x) == c else None for x, c in zip(cuts, hashes[k].as_py(), strict=True)])
     return pa.array(out, pa.list_(pa.binary()))
 
@@ -259,14 +271,14 @@ def repeated(docs: DataFrame, least: int, gram: int) -> DataFrame:
     rows = d.select("doc_id", F.explode(listing(least, gram)("text")).alias("s")).select("s.m", "s.c", "doc_id", "s.place")
     kinds = rows.repartition(width(spark), "m").groupBy("m", "c").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
     kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("m")))
-    kinds = scratch.table(kinds.where("kinds > 1 or first <> last").select("m", "c", F.col("first.doc_id").alias("fd"), F.col("first.place").alias("fp"), (F.col("first") != F.col("last")).alias("copied"), "kinds"))
+    kinds = scratch.table(kinds.where("kinds > 1 or first <> last or first.place & 1 = 1").select("m", "c", F.col("first.doc_id").alias("fd"), F.col("first.place").alias("fp"), (F.col("first") != F.col("last")).alias("copied"), "kinds"))
     # Equal stretches: every one but the first repeats it.
     copied = kinds.where("copied").select("m", "c", "fd", "fp")
     whole = rows.join(copied.hint("merge"), ["m", "c"]).where("doc_id <> fd or place <> fp")
-    size = F.col("place").bitwiseAND((1 << 32) - 1)
+    size = F.shiftright(F.col("place").bitwiseAND((1 << 32) - 1), 1)
     whole = whole.select("doc_id", F.shiftright("place", 32).alias("a"), (F.shiftright("place", 32) + size).alias("b"))
-    # Different stretches of one minimum: compared word by word.
-    wanted = kinds.where("kinds > 1").groupBy(F.col("fd").alias("id")).agg(F.collect_list(F.struct("fp", "m", "c")).alias("w"))
+    # Different stretches of one minimum, and those that hold it twice: compared word by word.
+    wanted = kinds.where("kinds > 1 or fp & 1 = 1").groupBy(F.col("fd").alias("id")).agg(F.collect_list(F.struct("fp", "m", "c")).alias("w"))
     read = d.join(wanted.hint("merge"), d["doc_id"] == wanted["id"]).select("doc_id", "w", words_at("text", F.col("w.fp"), F.col("w.c")).alias("h"))
     read = read.select("doc_id", F.explode(F.arrays_zip("w", "h")).alias("x")).select("x.w.m", "x.w.c", "doc_id", F.col("x.w.fp").alias("place"), F.col("x.h").alias("words")).where("words is not null")
     parts = read.repartition(width(spark), "m").sortWithinPartitions("m", "doc_id", "place").mapInArrow(comparer(least), "doc_id long, a long, b long")
