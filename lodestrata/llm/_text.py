@@ -118,7 +118,7 @@ class Words:
         for j in range(k):
             g *= U(0xA0761D6478BD642F)
             part = np.zeros(n, U)
-            part[: n - j or None] = h[j:] if j < n else part[:0]
+            part[: max(n - j, 0)] = h[j:]
             g += np.where(at + j < stop, part, U(0))
         return mix(g), at + k <= stop
 
