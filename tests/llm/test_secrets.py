@@ -1,0 +1,114 @@
+import re
+import string
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from lodestrata.llm import automaton as A
+from lodestrata.llm import secrets as S
+
+SCHEMA = "doc_id long, text string, n_chars long, rule string, start int, s string"
+TOY = [r"ab{2,4}c?", r"[x-z]+\d{2}", r"k=\s*(?:on|off)", r"a.b", r"[^a-z \n]{3}"]
+toy = A.compiled(TOY, most=2)
+
+
+def brute(rules, raw):
+    """Leftmost, then longest, then first rule."""
+    out, at = [], 0
+    compiled = [re.compile(r.encode(), re.ASCII) for r in rules]
+    while at < len(raw):
+        best = None
+        if at == 0 or not re.match(rb"\w", raw[at - 1 : at], re.ASCII):
+            for k, c in enumerate(compiled):
+                for end in range(len(raw), at, -1):
+                    if c.fullmatch(raw, at, end):
+                        if best is None or end > best[0]:
+                            best = (end, k)
+                        break
+        if best:
+            out.append((at, best[0], best[1]))
+            at = best[0]
+        else:
+            at += 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text("abcxyz019k=onf -\né", max_size=24), min_size=1, max_size=40))
+def test_automaton_is_the_regexes(texts):
+    got = S.found_in(pa.array(texts), *toy)
+    for t, g in zip(texts, got, strict=True):
+        assert (g or []) == brute(TOY, t.encode())
+
+
+def test_minimised():
+    one = A.compiled([r"abc|abd|acc|acd"])[1]
+    assert len(one.rule) == 5  # dead, start, a, ab or ac, accepting
+
+
+def test_bad_rules():
+    for r in ("a*", "(a", "a)", "[a"):
+        try:
+            A.compiled([r])
+        except ValueError:
+            continue
+        raise AssertionError(r)
+
+
+r = np.random.default_rng(2)
+abc = string.ascii_letters + string.digits
+rand = lambda n, of=abc: "".join(r.choice(list(of), n))
+SECRETS = {
+    "aws_access_key": "AKIA" + rand(16, string.ascii_uppercase + string.digits),
+    "github_token": "ghp_" + rand(36),
+    "slack_token": "xoxb-" + rand(12) + "-" + rand(24),
+    "stripe_key": "sk_live_" + rand(24),
+    "google_api_key": "AIza" + rand(35),
+    "json_web_token": f"eyJ{rand(20)}.eyJ{rand(30)}.{rand(43)}",
+    "private_key": f"-----BEGIN RSA PRIVATE KEY-----\n{rand(64)}\n{rand(64)}\n-----END RSA PRIVATE KEY-----",
+    "url_password": "postgres://admin:s3cr3t!@db.example.com",
+    "assigned": f'token = "{rand(40, "0123456789abcdef")}"',
+    "password": "password: hunter2hunter2",
+    "bearer": "Bearer " + rand(32),
+}
+CLEAN = ["The token was lost. Secret gardens, passwords and keys.", "AKIA is short", "https://example.com/path?x=1", "ghp_short", "xAKIA" + "A" * 16, "key = value"]
+
+
+def test_every_kind(spark):
+    df = spark.createDataFrame([(i, f"é before {s} after", 5, "r", 1, "x") for i, s in enumerate(SECRETS.values())], SCHEMA)
+    got = {x["doc_id"]: x for x in S.scan(df).collect()}
+    texts = {x["doc_id"]: x["text"] for x in df.collect()}
+    for i, (rule, s) in enumerate(SECRETS.items()):
+        assert got[i]["rule"] == rule and texts[i][got[i]["start"] : got[i]["end"]] == s, rule
+    masked = {x["doc_id"]: x for x in S.redact(df).collect()}
+    assert masked[0]["text"] == "é before <AWS_ACCESS_KEY> after" and masked[0]["n_chars"] == len(masked[0]["text"])
+
+
+def test_cases(spark):
+    long = "word " * 100_000 + SECRETS["github_token"] + " end"
+    df = spark.createDataFrame([(1, None, 9, "r", 1, "x"), (2, "", 0, "r", 1, "x"), (3, long, 1, "r", 1, "x"), (None, SECRETS["slack_token"], None, None, None, None), *[(10 + i, t, 3, "r", 1, "x") for i, t in enumerate(CLEAN)], (4, SECRETS["github_token"] + " " + SECRETS["github_token"], 1, "r", 1, "x"), (4, SECRETS["github_token"], 1, "r", 1, "x")], SCHEMA)
+    got = sorted((str(x["doc_id"]), x["start"], x["rule"]) for x in S.scan(df).collect())
+    assert got == [("3", 500_000, "github_token"), ("4", 0, "github_token"), ("4", 0, "github_token"), ("4", 41, "github_token"), ("None", 0, "slack_token")]
+    out = S.redact(df)
+    assert out.schema == df.schema and out.count() == df.count()
+    by = {x["doc_id"]: x for x in out.collect()}
+    assert by[1]["text"] is None and by[1]["n_chars"] == 9 and by[10]["text"] == CLEAN[0] and by[3]["text"].endswith("<GITHUB_TOKEN> end")
+    assert S.scan(df.limit(0)).count() == 0 and S.redact(df.limit(0)).count() == 0
+
+
+def test_query_against_regexes(spark, sf):
+    from lodestrata.llm.entries import QUERIES
+
+    sf = sf.replace("0.001", "0.01")
+    found: dict = {}
+    for x in QUERIES["op7_secret_scan"](spark, sf).collect():
+        found.setdefault(x["doc_id"], []).append((x["start"], x["end"], x["rule"]))
+    rules = [(k, re.compile(rf"(?<![A-Za-z0-9_])(?:{r})", re.ASCII)) for k, r in S.RULES.items()]
+    some = 0
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want = {m.span() for _, c in rules for m in c.finditer(d["text"])}
+        got = {(a, b) for a, b, _ in found.get(d["doc_id"], [])}
+        assert bool(want) == bool(got) and got <= want
+        some += bool(want)
+    assert some
