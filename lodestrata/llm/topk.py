@@ -28,6 +28,7 @@ from ._scratch import Scratch, width
 
 K = 10
 BLOCK = 2048
+SIDES = 4
 GRID = 10**9
 SHIFTS = (20, 10, 0)
 TOP = 1 << 31
@@ -131,10 +132,16 @@ def chooser(k: int):
 
 
 def joined(blocks: DataFrame, queries: DataFrame, splits: int) -> DataFrame:
-    """Every query block with every block of its dimension, a query's side by side within a split."""
-    x = blocks.select("dim", F.col("ids").alias("xids"), F.col("vecs").alias("xvecs"), F.pmod("blk", F.lit(splits)).alias("split"))
-    q = queries.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
-    return q.join(x.hint("shuffle_hash"), ["dim", "split"]).drop("split")
+    """Every query block with every block of its dimension, a query's side by side within a split.
+
+    Cells of SIDES groups of query blocks by ``splits`` groups of blocks are
+    more than the partitions they hash to, which evens out the partitions.
+    """
+    sides, n = F.lit(SIDES), splits * SIDES // 2
+    x = blocks.select("dim", F.col("ids").alias("xids"), F.col("vecs").alias("xvecs"), F.pmod("blk", F.lit(splits)).alias("split"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDES - 1).cast("long"))).alias("side"))
+    q = queries.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))).withColumn("side", F.pmod("blk", sides))
+    cell = ["dim", "split", "side"]
+    return q.repartition(n, *cell).join(x.repartition(n, *cell).hint("shuffle_hash"), cell).drop("split", "side")
 
 
 def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
