@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fields import Fields
@@ -13,7 +13,7 @@ from .functions.json import flatten_json, shard_offset, timestamp_of, with_bucke
 from .operators import mapping, stats, writes
 from .plans.parse import parse_query
 from .plans.tree import Semantics
-from .search.compile import Compiler, sort_columns
+from .search.compile import Compiler
 from .search.engine import Engine
 from .sources.catalog import Catalog
 
@@ -186,11 +186,16 @@ def q_sort_from_size(spark, sf_dir):
     return Engine(spark).table(table(spark, sf_dir, "orders"), request).hits.select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("select o_orderkey, row_number() over (order by s asc nulls last, o_orderkey desc nulls first) n from (select o_orderkey, nullif(o_orderstatus, 'O') s from orders)")
-def q_sort_nulls(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("s"))
-    r = Engine(spark).table(o, {"sort": ["s", {"o_orderkey": "desc"}], "size": 2_000_000_000})
-    return r.matched.withColumn("n", F.row_number().over(Window.orderBy(*sort_columns(r.fields, r.request.sort)))).select("o_orderkey", "n")
+def sorted_nulls(name: str, first: str, second: str, sql: str):
+    def run(spark, sf_dir):
+        o = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("s"))
+        return Engine(spark).table(o, {"sort": [{"s": first}, {"o_orderkey": second}], "size": 6000}).hits
+
+    QUERIES[name], ORACLES[name] = run, f"select o_orderkey, nullif(o_orderstatus, 'O') s from orders order by {sql} limit 6000"
+
+
+sorted_nulls("q_sort_nulls_last", "asc", "desc", "s asc nulls last, o_orderkey desc")
+sorted_nulls("q_sort_nulls_first", "desc", "asc", "s desc nulls first, o_orderkey asc")
 
 
 @query(f"select event_id::varchar _id from {EVENTS} order by case when not list_contains(json_keys(src), 'k') then null when src::json->>'k' is null then 0 else 2 end desc nulls first, (src::json->>'k')::double desc nulls first, event_id::varchar limit 3000")

@@ -1,8 +1,8 @@
 """Stored indices: an append-only log of document versions, partitioned by index.
 
 Readers see the newest version of each (_type, _id) that isn't a deletion.
-Compaction rewrites an index to its visible rows.  Within a partition, rows are
-sorted by time, so that footers prune ranges of it.
+Compaction rewrites an index to its visible rows.  Files hold a few days each
+(a busy day is split among tasks) and are sorted by time, so footers prune ranges of it.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Store:
         """Document rows, newer than all there are; of equal keys among them, that of the latest time."""
         seq = time.time_ns() if seq is None else seq
         made = df.select(*COLUMNS).withColumns({"_seq": F.lit(seq), "_deleted": F.lit(deleted)})
-        made.repartition("_index", F.col("_bucket1d")).sortWithinPartitions("_index", "_timestamp").write.mode("append").partitionBy("_index").parquet(self.root)
+        made.hint("rebalance", "_index", "_bucket1d").sortWithinPartitions("_index", "_timestamp").write.mode("append").partitionBy("_index").parquet(self.root)
 
     def create(self, df: DataFrame) -> None:
         names = [r[0] for r in df.select("_index").distinct().collect()]
@@ -80,7 +80,7 @@ class Store:
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         aside = f"{self.root}/.compact-{time.time_ns()}"
         rows = self.read([index]).drop("_index").withColumns({"_seq": F.lit(0).cast("long"), "_deleted": F.lit(False)})
-        rows.repartition("_bucket1d").sortWithinPartitions("_timestamp").write.parquet(aside)
+        rows.hint("rebalance", "_bucket1d").sortWithinPartitions("_timestamp").write.parquet(aside)
         fs, p = self._fs(f"{self.root}/_index={escape(index)}")
         fs.delete(p, True)
         fs.rename(self._fs(aside)[1], p)
