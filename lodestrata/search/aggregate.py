@@ -72,7 +72,9 @@ class Planner:
         if m.kind == "cardinality":
             return [F.countDistinct(x).alias(m.name)]
         if m.kind == "percentiles":
-            return [F.expr(f"percentile_disc({p / 100!r}) within group (order by `__m{at}`)").alias(f"{m.name}.{p!r}") for p in m.percents]
+            # One aggregate for all percents; frame() takes the array apart.
+            wanted = ", ".join(f"{p / 100!r}D" for p in m.percents)
+            return [F.expr(f"percentile_disc(array({wanted})) within group (order by `__m{at}`)").alias(f"__p{at}")]
         made = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "sum_of_squares": lambda c: F.sum(c * c), "variance": F.var_pop, "std_deviation": F.stddev_pop}
         return [made[k](x).alias(f"{m.name}.{k}") for k in (EXTENDED if m.kind == "extended_stats" else STATS)]
 
@@ -138,10 +140,13 @@ class Planner:
         for i, b in enumerate(path):
             df = df.withColumn(f"__k{i}", F.explode(f"__k{i}")) if self.overlaps(b) else df.where(F.col(f"__k{i}").isNotNull())
         columns = [c for i, m in enumerate(metrics) for c in self.metric(m, i)]
-        if not path:
-            return Frame(path, metrics, df.agg(F.count(F.lit(1)).alias("doc_count"), *columns))
         keys = [F.col(f"__k{i}").alias(key_name(b)) for i, b in enumerate(path)]
         out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *columns)
+        for i, m in enumerate(metrics):
+            if m.kind == "percentiles":
+                out = out.withColumns({f"{m.name}.{p!r}": F.get(f"__p{i}", F.lit(n)) for n, p in enumerate(m.percents)}).drop(f"__p{i}")
+        if not path:
+            return Frame(path, metrics, out)
         if len(path) == 1 and self.overlaps(path[0]):  # buckets without documents stay
             all_keys = self.df.sparkSession.range(len(self.bounds(path[0]))).select(F.col("id").cast("int").alias(key_name(path[0])))
             out = all_keys.join(out, key_name(path[0]), "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
