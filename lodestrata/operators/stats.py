@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.json import words
 from .mapping import leaves
 
+KINDS = ("String", "Boolean", "Long", "Double")
 KEEP_MINUS = "case when min({0}) < 0 then -1 else sum({0}) end"
 
 
@@ -32,25 +33,43 @@ def measure(docs: DataFrame) -> DataFrame:
     strings; of other mixtures the most frequent kind counts and the rest is dropped.
     """
     v = values(docs)
-    per = v.groupBy("field", "kind").count()
-    rank = F.struct((F.col("kind") == "String").cast("int"), "count", "kind")
-    kinds = per.groupBy("field").agg(F.max_by("kind", rank).alias("is"))
-    v = v.join(kinds, "field").where("kind = is or (is = 'String' and kind in ('Long', 'Double'))")
-    w = words(F.col("text"))
-    string = F.col("is") == "String"
-    freq = F.when(string, F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).when(F.col("is") == "Double", 0).otherwise(1)
-    number = F.when(F.col("is").isin("Long", "Double"), F.col("text").try_cast("double"))
-    out = v.groupBy("_index", "field", F.col("is").alias("kind")).agg(
-        F.countDistinct("doc").alias("doc_count"),
-        F.sum(freq).cast("long").alias("sum_doc_freq"),
-        F.min(F.when(F.col("is") == "Double", 0).otherwise(-1)).cast("long").alias("sum_total_term_freq"),
-        F.min(F.when(string, F.array_min(w))).alias("lo_word"),
-        F.max(F.when(string, F.array_max(w))).alias("hi_word"),
-        F.min(number).alias("lo"),
-        F.max(number).alias("hi"),
+    is_ = {k: F.col("kind") == k for k in KINDS}
+    text = F.col("kind") != "Boolean"
+    w, number = words(F.col("text")), F.col("text").try_cast("double")
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    # Whatever kind a field turns out to have, one pass over its values: by document, then by field.
+    doc = v.groupBy("_index", "field", "doc").agg(
+        *[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in is_.items()],
+        F.sum(F.when(text, spaces + 1)).alias("freq"),
+        F.min(F.when(text, F.array_min(w))).alias("lo_word"),
+        F.max(F.when(text, F.array_max(w))).alias("hi_word"),
+        *[f(F.when(is_[k], number)).alias(f"{n}_{k}") for k in ("Long", "Double") for n, f in (("lo", F.min), ("hi", F.max))],
     )
-    shown = lambda n, s: F.when(F.col("kind") == "Long", F.col(n).cast("long").cast("string")).when(F.col("kind") == "Double", F.col(n).cast("string")).otherwise(F.col(s))
-    return out.select("_index", "field", "kind", "doc_count", "sum_doc_freq", "sum_total_term_freq", shown("lo", "lo_word").alias("min_value"), shown("hi", "hi_word").alias("max_value"))
+    has = {k: (F.col(f"n_{k}") > 0).cast("long") for k in KINDS}
+    some = (F.col("n_String") + F.col("n_Long") + F.col("n_Double") > 0).cast("long")
+    f = doc.groupBy("_index", "field").agg(
+        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS],
+        *[F.sum(has[k]).alias(f"docs_{k}") for k in KINDS if k != "String"],
+        F.sum(some).alias("docs_String"),
+        F.sum("freq").alias("freq"),
+        *[F.min(c).alias(c) for c in ("lo_word", "lo_Long", "lo_Double")],
+        *[F.max(c).alias(c) for c in ("hi_word", "hi_Long", "hi_Double")],
+    )
+    rank = F.greatest(*[F.struct((F.lit(k == "String") & (F.sum(f"n_{k}") > 0)).alias("s"), F.sum(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS])
+    f = f.join(f.groupBy("field").agg(rank["kind"].alias("kind")), "field")
+    by = lambda c: F.coalesce(*[F.when(is_[k], c(k)) for k in KINDS])
+    shown = lambda n: F.when(is_["String"], F.col(f"{n}_word")).when(is_["Long"], F.col(f"{n}_Long").cast("long").cast("string")).when(is_["Double"], F.col(f"{n}_Double").cast("string"))
+    out = f.select(
+        "_index",
+        "field",
+        "kind",
+        by(lambda k: F.col(f"docs_{k}")).alias("doc_count"),
+        F.when(is_["String"], F.col("freq")).when(is_["Double"], 0).otherwise(by(lambda k: F.col(f"n_{k}"))).cast("long").alias("sum_doc_freq"),
+        F.when(is_["Double"], 0).otherwise(-1).cast("long").alias("sum_total_term_freq"),
+        shown("lo").alias("min_value"),
+        shown("hi").alias("max_value"),
+    )
+    return out.where("doc_count > 0")
 
 
 def merge(*parts: DataFrame) -> DataFrame:
