@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck(sf):
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
-    return str(v) if isinstance(v, (str, bool)) else f"{float(v):.6f}"
+    return f"{float(v):.6f}" if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 def table(columns, rows):
