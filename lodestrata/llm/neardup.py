@@ -1,12 +1,14 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates by banded minhashes, decided on the shingles.
 
-Each tree orders all documents by its own sequence of minhashes.  Documents
-whose sequences share the longest prefixes are neighbours in that order; a
-region is a run of neighbours sharing a prefix.  A region of more than
-``region`` documents is cut one hash deeper, again and again, so depth follows
-density; all pairs of a region are compared, and so are the two sides of each
-cut.  Where a whole sequence is shared by more, each document is compared with
-the next: equal ones still form one chain.
+Documents that have the ``ROWS`` minhashes of one of ``BANDS`` bands alike form
+a bucket, and all pairs of a bucket are compared, however many documents it
+holds: whether a pair meets depends on its own Jaccard index alone (0.99 at
+0.5).  A bucket of more than ``tile`` documents is cut to groups of about so
+many, and each pair of groups is a tile of its own, so no bucket is one task.
+
+Compared are sketches of one byte a minhash.  Pairs far above the threshold
+are taken and those far below it dropped; the others, unless the taken ones
+connect them already, are decided by the exact Jaccard index of their shingles.
 
 Defined cases
 * null doc_id or null text: the row is never compared; the stage keeps it.
@@ -22,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ._scratch import Scratch, width
 from ._text import U, Words, binary, blocks
 from .components import components
 
-PERMS, TREES, DEPTH = 128, 8, 4
-SHINGLE, THRESHOLD, REGION = 3, 0.5, 32
+PERMS, BANDS, ROWS = 128, 16, 2
+SHINGLE, THRESHOLD, TILE = 3, 0.5, 1024
+#: Standard errors of the sketch below and above the threshold between which the shingles decide.
+BELOW, ABOVE = 3.0, 4.5
 
 
 def constants(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -69,91 +74,93 @@ def signer(shingle: int):
     @arrow_udf("binary")
     def sign(text: pa.Array) -> pa.Array:
         m, none = minhash(text, shingle)
-        keys = m[:, : TREES * DEPTH].astype(">u4").view(np.uint8).reshape(len(m), -1)
+        keys = m[:, : BANDS * ROWS].astype(">u4").view(np.uint8).reshape(len(m), -1)
         return binary(np.hstack([keys, (m & 255).astype(np.uint8)]), none)
 
     return sign
 
 
-def leaves(key: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted keys: region of each row at depth 1; its leaf; whether the leaf is still too large."""
-    n = len(key)
-    differs = key[1:] != key[:-1]
-    cut = np.ones((DEPTH, n), bool)
-    for d in range(DEPTH):
-        cut[d, 1:] = differs[:, : 5 + 4 * d].any(1)
-    mine = cut[0].copy()
-    top = np.cumsum(mine) - 1
-    for d in range(1, DEPTH):
-        leaf = np.cumsum(mine) - 1
-        mine |= cut[d] & (np.bincount(leaf)[leaf] > region)
-    leaf = np.cumsum(mine) - 1
-    return top, leaf, np.bincount(leaf)[leaf] > region
-
-
-def neighbours(key, ids, sketch, threshold: float, region: int):
-    """Pairs (less, greater, equal minhashes) of sorted rows that pass the threshold."""
-    top, leaf, large = leaves(key, region)
-    need = (threshold * 255 / 256 + 1 / 256) * PERMS
-    found = []
-    at = np.arange(len(ids) - 1)
-    for delta in range(1, region):
-        same = leaf[at] == leaf[at + delta]
-        pair = at[top[at] == top[at + delta]] if delta == 1 else at[same]
-        pair = pair[ids[pair] != ids[pair + delta]]
-        for c in range(0, len(pair), 65536):
-            p = pair[c : c + 65536]
-            m = (sketch[p] == sketch[p + delta]).sum(1)
-            p, m = p[m >= need], m[m >= need]
-            x, y = ids[p], ids[p + delta]
-            found.append((np.minimum(x, y), np.maximum(x, y), m))
-        at = at[same & ~large[at]]
-        at = at[at + delta + 1 < len(ids)]
-        if not len(at):
-            break
-    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-
-
-def walker(threshold: float, region: int):
-    """A pass over one sorted partition, keeping back the region that the next batch may continue."""
+def bars(threshold: float) -> tuple[int, int]:
+    """Equal minhashes (of one byte) from which a pair may pass, and from which it does."""
+    share = threshold * 255 / 256 + 1 / 256
+    error = (share * (1 - share) / PERMS) ** 0.5
+    return int(np.ceil((share - BELOW * error) * PERMS)), int(np.ceil((share + ABOVE * error) * PERMS))
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node connected with each of n nodes by the pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def neighbours(key, ids, part, sketch, threshold: float):
+    """Pairs (less, greater, sure) of all rows of one key that may pass the threshold.
+
+    ``part`` is a row's group where a key holds two of them, of which pairs
+    inside one are another tile's, and -1 elsewhere.  Of the sure pairs a star
+    of each connected set stays, and pairs inside such a set are left out.
+    """
+    low, high = bars(threshold)
+    n = len(ids)
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]).any(1)
+    of = np.cumsum(new) - 1
+    maybe, sure = [], []
+    at = np.arange(n - 1)
+    delta = 1
+    while len(at):
+        at = at[of[at] == of[at + delta]]
+        pair = at[(ids[at] != ids[at + delta]) & ((part[at] != part[at + delta]) | (part[at] < 0))]
+        for c in range(0, len(pair), 16384):
+            p = pair[c : c + 16384]
+            m = np.count_nonzero(sketch[p] == sketch[p + delta], axis=1)
+            ok = (m >= low) & (m < high)
+            maybe.append((p[ok], p[ok] + delta))
+            sure.append((p[m >= high], p[m >= high] + delta))
+        delta += 1
+        at = at[at + delta < n]
+    none = (np.zeros(0, np.int64),) * 2
+    (a, b), (c, d) = ([np.concatenate(x) for x in zip(none, *f, strict=True)] for f in (maybe, sure))
+    root = roots(c, d, n)
+    apart = root[a] != root[b]
+    leaf = np.flatnonzero(root != np.arange(n))
+    x, y = ids[np.concatenate([a[apart], root[leaf]])], ids[np.concatenate([b[apart], leaf])]
+    return np.minimum(x, y), np.maximum(x, y), np.arange(len(x)) >= apart.sum()
+
+
+def walker(threshold: float):
+    """A pass over partitions sorted by key, keeping back the key that the next batch may continue."""
 
     def walk(batches):
         held = None
-        last = None
 
-        def pairs(key, ids, sketch):
-            a, b, m = neighbours(key, ids, sketch, threshold, region)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m.astype(np.int32)), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], ["a", "b", "equal", "key", "sketch"])
-
-        def edge(key, ids, sketch, i):
-            """A first or last row: its neighbour is in another partition."""
-            return pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([key[i].tobytes()]), pa.array([sketch[i].tobytes()])], ["a", "b", "equal", "key", "sketch"])
+        def pairs(rows):
+            a, b, sure = neighbours(*rows, threshold)
+            keep = a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(sure[keep])], ["a", "b", "sure"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             n = batch.num_rows
-            mat = [np.frombuffer(batch.column(c).buffers()[2], np.uint8)[batch.column(c).offset * w :][: n * w].reshape(n, w) for c, w in ((0, 1 + 4 * DEPTH), (2, PERMS))]
-            rows = [mat[0], batch.column(1).to_numpy(zero_copy_only=False), mat[1]]
-            if held is None:
-                yield edge(*rows, 0)
-            else:
+            if not n:
+                continue
+            mat = [np.frombuffer(batch.column(c).buffers()[2], np.uint8)[batch.column(c).offset * w :][: n * w].reshape(n, w) for c, w in ((0, 9 + 4 * ROWS), (3, PERMS))]
+            rows = [mat[0], *(batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)), mat[1]]
+            if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            key = rows[0]
-            keep = len(key) - 1
-            for d in range(DEPTH):  # back to where the open region began; if that is too large, one hash deeper
-                differs = (key[:, : 5 + 4 * d] != key[-1, : 5 + 4 * d]).any(1)
-                keep = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-                if len(key) - keep <= region:
-                    break
-            else:
-                keep = max(keep, len(key) - 1)
-            done = min(len(key), keep + 1)  # the cut's two sides are compared too
-            yield pairs(*[x[:done] for x in rows])
-            held, last = [x[keep:].copy() for x in rows], [x[-1:].copy() for x in rows]
+            differs = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
+            keep = int(differs[-1]) + 1 if len(differs) else 0
+            if keep:
+                yield pairs([x[:keep] for x in rows])
+            held = [x[keep:].copy() for x in rows]
         if held is not None:
-            yield pairs(*held)
-            yield edge(*last, 0)
+            yield pairs(held)
 
     return walk
 
@@ -164,43 +171,78 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), signer(shingle)(F.lower("text")).alias("sign"))
 
 
-def pairs(reps: DataFrame, threshold: float, region: int) -> DataFrame:
-    """Verified candidate pairs (a, b) of the forest over (rep, sign)."""
-    spark = reps.sparkSession
-    w = 4 * DEPTH
-    rows = reps.where("sign is not null").select(F.explode(F.array(*[F.concat(F.lit(bytes([t])), F.substring("sign", 1 + w * t, w)) for t in range(TREES)])).alias("key"), "rep", F.substring("sign", 1 + w * TREES, PERMS).alias("sketch"))
-    ordered = rows.repartitionByRange(width(spark), "key").sortWithinPartitions("key", "rep")
-    return ordered.mapInArrow(walker(threshold, region), "a long, b long, equal int, key binary, sketch binary")
-
+def pairs(reps: DataFrame, scratch: Scratch, threshold: float, tile: int = TILE) -> DataFrame:
+    """Candidate pairs (a, b, sure) over (rep, sign): all that share a band and may pass the threshold.
 
-def joined_edges(found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs inside partitions, and those between a partition's last row and the next one's first.
-
-    There are two edge rows a partition, so one window over them is small.
+    Keys of more than ``tile`` rows are few (a row has BANDS keys) and travel
+    with the tasks; a row of one goes to the tiles of its group with every other.
     """
-    w = Window.orderBy("key", "a")
-    need = (threshold * 255 / 256 + 1 / 256) * PERMS
-
-    @arrow_udf("int")
-    def equal(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if a is None or b is None else sum(p == q for p, q in zip(a.as_py(), b.as_py(), strict=True)) if a.as_py() and b.as_py() else None for a, b in zip(x, y, strict=True)], pa.int32())
-
-    e = found.where("b is null").select("a", "key", "sketch", F.lag("a").over(w).alias("p"), F.lag("key").over(w).alias("pk"), F.lag("sketch").over(w).alias("ps"))
-    e = e.where("p is not null and p <> a and substring(key, 1, 5) = substring(pk, 1, 5)")
-    e = e.where(equal("sketch", "ps") >= need)
-    return found.where("b is not null").select("a", "b").union(e.select(F.least("a", "p"), F.greatest("a", "p")))
-
-
-def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, region: int = REGION) -> DataFrame:
+    w = 4 * ROWS
+    signed = reps.where("sign is not null")
+    key = F.explode(F.array(*[F.concat(F.lit(bytes([t])), F.substring("sign", 1 + w * t, w)) for t in range(BANDS)])).alias("key")
+    large = scratch.table(signed.select(key).groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("k"), F.ceil(F.col("count") / tile).cast("int").alias("g")))
+    rows = signed.select(key, "rep", F.substring("sign", 1 + 4 * BANDS * ROWS, PERMS).alias("sketch"))
+    rows = rows.join(F.broadcast(large), F.col("key") == F.col("k"), "left").withColumn("mine", F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")))
+    other = F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))).alias("other")
+    rows = rows.select("key", "rep", "sketch", "mine", other)
+    tiles = F.concat("key", F.coalesce(F.when(F.col("mine").isNotNull(), F.unhex(F.concat(F.lpad(F.hex(F.least("mine", "other")), 8, "0"), F.lpad(F.hex(F.greatest("mine", "other")), 8, "0")))), F.lit(bytes(8))))
+    part = F.when(F.col("mine").isNull() | (F.col("mine") == F.col("other")), -1).otherwise(F.col("mine"))
+    ordered = rows.select(tiles.alias("key"), "rep", part.cast("int").alias("part"), "sketch").repartition(width(reps.sparkSession), "key").sortWithinPartitions("key")
+    return ordered.mapInArrow(walker(threshold), "a long, b long, sure boolean")
+
+
+def shingler(shingle: int):
+    @arrow_udf("binary")
+    def shingles(text: pa.Array) -> pa.Array:
+        """The different shingle hashes of each text, sorted."""
+        out = []
+        for i, j, d, o in blocks(text):
+            w = Words(d, o)
+            g, whole = w.grams(shingle)
+            whole[w.of[:-1][w.count > 0]] = True
+            for k in range(j - i):
+                mine = slice(w.of[k], w.of[k + 1])
+                out.append(np.unique(g[mine][whole[mine]]).tobytes())
+        return pa.array(out, pa.binary())
+
+    return shingles
+
+
+@arrow_udf(T.DoubleType())
+def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Exact Jaccard index of two sets of sorted hashes."""
+    out = []
+    for a, b in zip(x, y, strict=True):
+        p, q = (np.frombuffer(v.as_buffer(), U) for v in (a, b))
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        out.append(both / max(len(p) + len(q) - both, 1))
+    return pa.array(out, pa.float64())
+
+
+def verified(docs: DataFrame, maybe: DataFrame, scratch: Scratch, threshold: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingles have the threshold's Jaccard index at least."""
+    ids = maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct()
+    d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")  # merged at any size, so that disk grows with the input alone
+    sets = scratch.table(d.join(ids.hint("merge"), "id", "left_semi").select("id", shingler(shingle)(F.lower("text")).alias("s")).distinct())
+    both = maybe.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return both.where(jaccard("x", "y") >= threshold).select("a", "b")
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, keeper) for each document of a group but its keeper, the least doc_id."""
     scratch = Scratch(docs.sparkSession)
     signed = scratch.table(signatures(docs, shingle))
-    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"))
-    found = scratch.table(pairs(reps, threshold, region))
+    reps = scratch.table(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign")).select("rep", "sign"))
+    found = scratch.table(pairs(reps, scratch, threshold, tile))
     equal = signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("h1", "h2")).alias("rep")).where("doc_id <> rep")
-    edges = joined_edges(found, threshold).union(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    edges = found.where("sure").select("a", "b").union(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     out = components(edges, scratch)
-    scratch.drop(signed, found)
+    ra, rb = (out.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    maybe = found.where("not sure").select("a", "b").distinct().join(ra, "a", "left").join(rb, "b", "left")
+    maybe = scratch.table(maybe.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
+    if not maybe.isEmpty():
+        out = components(out.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(docs, maybe, scratch, threshold, shingle)), scratch)
+    scratch.drop(signed, reps, found, maybe)
     return out.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
 
 

@@ -94,3 +94,23 @@ def test_query_against_brute_force(spark, sf):
     assert near and sum(group.get(i, i) == group.get(j, j) for i, j in near) >= 0.9 * len(near)
     for i, keeper in group.items():
         assert max(len(sets[i] & sets[j]) / max(len(sets[i] | sets[j]), 1) for j in ids if j != i and group.get(j, j) == keeper) > 0.3
+
+
+def test_recall_among_thousands_that_share_a_template(spark):
+    r = np.random.default_rng(11)
+    template = words(r, 92)  # 90 shingles
+    texts, pairs = [], []
+    for i in range(3000):
+        own = [f"o{i}x{k}" for k in range(62)]
+        if i % 20 == 1:  # 22 words, of which 20 shingles, as the one before has them
+            own[:22] = [f"o{i - 1}x{k}" for k in range(22)]
+            pairs.append((i - 1, i))
+        texts.append(" ".join(own[:62] + template))
+    order = r.permutation(len(texts))
+    sets = [shingles(t) for t in texts]
+    jac = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(jac(*p) >= N.THRESHOLD for p in pairs) and jac(0, 5) < N.THRESHOLD
+    place = {int(o): k for k, o in enumerate(order)}
+    group = {x["doc_id"]: x["keeper"] for x in N.groups(frame(spark, [texts[i] for i in order])).collect()}
+    got = sum(group.get(place[i], place[i]) == group.get(place[j], place[j]) for i, j in pairs)
+    assert got >= 0.97 * len(pairs) and len(group) <= len(pairs)
