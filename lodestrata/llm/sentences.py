@@ -4,7 +4,9 @@ A text's words (ASCII case and all else between them ignored) are cut to
 sentences: after ``. ! ? , ; :`` and line ends, and after words picked by their
 own hash, so that text without punctuation has ends too.  A span starts at every
 sentence and takes as many consecutive sentences, two at least, as make
-``words`` words.  Where a passage stands between other words, all but its first
+``words`` words; another ends at every sentence and takes as many before it.  So
+each run of that length is the union of spans inside it.  A shorter text of two
+sentences or more is one span.  Where a passage stands between other words, all but its first
 sentence are cut alike everywhere, so its spans are equal.
 
 Span hashes of all documents are aggregated to the repeated ones and their
@@ -13,7 +15,7 @@ but the first marks the sentences it covers.
 
 Defined cases
 * null doc_id or null text: never compared; ``remove`` keeps the row as it is.
-* texts of fewer words than a span: nothing is removed.
+* texts of fewer words than a span: removed as a whole if they have several sentences and repeat a whole text.
 * first: the least (doc_id, place).  Within one document the later passage goes.
 * rows that repeat a doc_id are one document: a span at the same place in both is one occurrence.
 * very long texts: read whole.  Texts that overlap themselves: each occurrence but the first is covered.
@@ -60,7 +62,14 @@ def spans(d: np.ndarray, o: np.ndarray, words: int) -> tuple[np.ndarray, np.ndar
     to = np.maximum(np.searchsorted(unit, unit[:-1] + words), np.arange(len(unit) - 1) + 2)
     end = unit[np.minimum(to, len(unit) - 1)]
     ok = (to < len(unit)) & (end <= stop)
-    a, b = unit[:-1][ok], end[ok]
+    begin = np.repeat(w.of[:-1], w.count)[unit[1:] - 1]  # the document's first word, by sentence end
+    since = np.minimum(np.searchsorted(unit, unit[1:] - words, "right") - 1, np.arange(len(unit) - 1) - 1)
+    since = np.where((since >= 0) & (unit[since] >= begin), unit[since], -1)
+    short = (unit[1:] == w.of[1:][np.searchsorted(w.of, begin, "right") - 1]) & (unit[1:] - begin < words) & (unit[:-1] > begin)
+    since[short] = begin[short]
+    kept = since >= 0
+    both = np.unique(np.concatenate([unit[:-1][ok] * (n + 1) + end[ok], since[kept] * (n + 1) + unit[1:][kept]]))
+    a, b = both // (n + 1), both % (n + 1)
     p = powers(BASE, n + 1)
     s = np.zeros(n + 1, U)
     np.cumsum(w.hash * p[:-1], out=s[1:])

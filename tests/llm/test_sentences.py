@@ -114,3 +114,42 @@ def test_query_against_brute_force(spark, sf):
 
     docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert covers(QUERIES["op6_sentence_dedup"](spark, sf).collect()) == brute(docs, S.WORDS)
+
+
+def runs_brute(docs, n):
+    """Covered bytes by document, from all runs of two sentences and n words, or of a whole shorter text."""
+    import numpy as np
+    from lodestrata.llm._text import Words
+
+    found: dict = {}
+    for i, t in docs:
+        raw = t.encode()
+        at = cut_words(raw)
+        d = np.frombuffer(raw, np.uint8)
+        h = Words(S.lowered(d), np.array([0, len(d)])).hash.tolist()
+        ends = [k for k in range(len(at)) if k == 0 or re.search(rb"[.!?,;:\n\r]", raw[at[k - 1][1] : at[k][0]]) or h[k - 1] % S.PICKED == 0] + [len(at)]
+        for x, u in enumerate(ends):
+            for v in ends[x + 2 :]:
+                if v - u >= n or (u == 0 and v == len(at)):
+                    key = tuple(raw[a:b].lower() for a, b in at[u:v])
+                    found.setdefault(key, []).append((i, at[u][0], at[v][0] if v < len(at) else len(raw)))
+    covered: dict = {}
+    for places in found.values():
+        for i, a, b in sorted(places)[1:]:
+            covered.setdefault(i, set()).update(range(a, b))
+    return covered
+
+
+def test_every_repeated_run_is_found(spark):
+    def sentence(n):
+        return " ".join(r.choices(VOCABULARY, k=n)) + ". "
+
+    p = sentence(30) + sentence(1) + sentence(9) + sentence(9).strip()
+    short = "Two words. And four more here."
+    docs = [(1, p), (2, p), (3, short), (4, short), (5, "x " + sentence(25) + p + " " + sentence(30)), (6, "Alone"), (7, "Alone")]
+    docs += [(10 + i, sentence(r.randint(1, 30)) + p[r.randint(0, 60) :] + " " + sentence(r.randint(1, 9))) for i in range(20)]
+    got = covers(S.repeats(frame(spark, docs)).collect())
+    assert got == runs_brute(docs, S.WORDS)
+    assert got[2] == set(range(len(p))) and got[4] == set(range(len(short)))
+    out = {x["doc_id"]: x["text"] for x in S.remove(frame(spark, docs)).collect()}
+    assert (out[1], out[2], out[3], out[4], out[7]) == (p, "", short, "", "Alone")
