@@ -30,6 +30,9 @@ from ._text import blocks
 from .automaton import Dfa, compiled, hits, spans
 
 _ASSIGN = r"[ \t]{0,4}(?:=|:|=>|:=)[ \t]{0,4}[\"']?"
+#: What an identifier has before a keyword, as in DB_PASSWORD or dbPassword; after ``.`` or ``-`` a match begins anew.
+_NAME = r"[A-Za-z0-9_]*"
+_HEADERS = r"(?:\s*(?:Proc-Type|Content-Domain|DEK-Info|Key-Info|MIC-Info|Originator-ID|Comment):[^\r\n]*)*"
 RULES = {
     "aws_access_key": r"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
@@ -41,11 +44,11 @@ RULES = {
     "gitlab_token": r"glpat-[A-Za-z0-9_\-]{20,}",
     "npm_token": r"npm_[A-Za-z0-9]{36}",
     "json_web_token": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----" + _HEADERS + r"[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
     "url_password": r"[a-z][a-z0-9+.\-]{1,12}://[A-Za-z0-9._\-]{1,40}:[^\s/@:\"']{3,}@[A-Za-z0-9.\-]+",
     "bearer": r"[Bb]earer[ \t]{1,4}[A-Za-z0-9._~+/\-]{20,}=*",
-    "assigned": r"(?:[Aa][Pp][Ii][_\-]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt](?:[_\-]?[Kk][Ee][Yy])?|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Kk][Ee][Yy]|[Aa][Uu][Tt][Hh][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Tt][Oo][Kk][Ee][Nn])[\"']?" + _ASSIGN + r"[A-Za-z0-9+/_\-]{16,}=*[\"']?",
-    "password": r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd])[\"']?" + _ASSIGN + r"[^\s\"',;]{6,}[\"']?",
+    "assigned": _NAME + r"(?:[Aa][Pp][Ii][_\-]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt](?:[_\-]?[Kk][Ee][Yy])?|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Kk][Ee][Yy]|[Aa][Uu][Tt][Hh][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Tt][Oo][Kk][Ee][Nn])[\"']?" + _ASSIGN + r"[A-Za-z0-9+/_\-]{16,}=*[\"']?",
+    "password": _NAME + r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd])[\"']?" + _ASSIGN + r"[^\s\"',;]{6,}[\"']?",
 }
 _made: dict[tuple, tuple[Dfa, Dfa]] = {}
 

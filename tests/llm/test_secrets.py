@@ -112,3 +112,14 @@ def test_query_against_regexes(spark, sf):
         assert bool(want) == bool(got) and got <= want
         some += bool(want)
     assert some
+
+
+def test_prefixed_names_and_headers_of_keys(spark):
+    v = "abcdEFGH01234567wxyz"
+    whole = [f"AWS_SECRET_ACCESS_KEY={v}", f"DB_PASSWORD={v}", f"MY_API_KEY={v}", f"client_secret: {v}", f'dbPassword": "{v}"', f"x9_auth_token => '{v}'"]
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n{v}\n{v}=\n-----END RSA PRIVATE KEY-----"
+    texts = [f"see {x} here" for x in whole] + [f"see {key} here", f"my.app-password={v}", f"the password_hint is short, {v}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in S.redact(df).orderBy("doc_id").collect()]
+    assert out[:7] == [f"see <{'PASSWORD' if 'assword' in x.lower() else 'ASSIGNED'}> here" for x in whole] + ["see <PRIVATE_KEY> here"]
+    assert out[7] == "my.app-<PASSWORD>" and out[8] == texts[8]
