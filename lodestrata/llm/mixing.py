@@ -8,7 +8,8 @@ demand reaches c.  That inverse is the root of a quadratic in each segment, so
 the position is one expression.  Documents are then range-sorted by position.
 
 A source with more tokens than demanded ends where its demand does; one with
-fewer is read again, epoch by epoch, ``max_epochs`` times at most.
+fewer is read again, epoch by epoch, as often as demanded.  Only a ``max_epochs``
+that is given caps this; what sources then lack is told by ``shortfall``.
 
 The default schedule starts from weights proportional to tokens^0.5 and ends at
 tokens^1, from the corpus itself; any schedule table can be given.  A source's
@@ -59,7 +60,7 @@ def schedule(spark, knots: dict[str | None, list[tuple[float, float]]]) -> DataF
     return spark.createDataFrame(rows, "src string, t0 double, t1 double, w0 double, w1 double")
 
 
-def positions(sized: DataFrame, scratch: Scratch, plan: DataFrame | None, budget: int | None, max_epochs: int, digits: int) -> DataFrame:
+def positions(sized: DataFrame, scratch: Scratch, plan: DataFrame | None, budget: int | None, max_epochs: int | None, digits: int) -> DataFrame:
     """sized with __epoch, __start (tokens of its source before it) and __pos in 0..1, due rows alone.
 
     A source's cumulative demand at time t of a segment is
@@ -81,7 +82,8 @@ def positions(sized: DataFrame, scratch: Scratch, plan: DataFrame | None, budget
     need = seg.groupBy("src").agg(F.max("supply").alias("supply"), F.max("budget").alias("budget"), F.max(F.col("area0") + F.col("area")).alias("share"), F.array_sort(F.collect_list(F.struct("t0", "t1", "w0", "w1", "area0", "area"))).alias("segs"))
     base = cell.select(F.col("__src").alias("src"), "__cell", F.coalesce(F.sum("tok").over(run), F.lit(0)).alias("__base")).join(need, "src")
     d = d.join(base.withColumnRenamed("src", "__src").hint("shuffle_merge"), ["__src", "__cell"]).withColumn("__first", F.col("__base") + F.col("__in"))
-    epochs = F.least(F.lit(max_epochs), F.ceil(F.col("share") * F.col("budget") / F.col("supply"))).cast("int")
+    epochs = F.ceil(F.col("share") * F.col("budget") / F.col("supply"))
+    epochs = (epochs if max_epochs is None else F.least(F.lit(max_epochs), epochs)).cast("int")
     d = d.withColumn("__epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     d = d.withColumn("__start", F.col("__first") + F.col("__epoch") * F.col("supply")).withColumn("__c", F.col("__start") / F.col("budget")).where("__c < share")
     d = d.withColumn("__s", F.expr("filter(segs, s -> __c >= s.area0)[size(filter(segs, s -> __c >= s.area0)) - 1]"))
@@ -91,7 +93,7 @@ def positions(sized: DataFrame, scratch: Scratch, plan: DataFrame | None, budget
     return d.withColumn("__pos", due)
 
 
-def assign(docs: DataFrame, plan: DataFrame | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, digits: int = DIGITS) -> DataFrame:
+def assign(docs: DataFrame, plan: DataFrame | None = None, budget: int | None = None, max_epochs: int | None = None, digits: int = DIGITS) -> DataFrame:
     """doc_id, source, n_tokens, epoch, source_start and position (0..1) of each use of a document, sorted."""
     scratch = Scratch(docs.sparkSession)
     sized = scratch.table(measured(docs.select("doc_id", "text", "source")).select("doc_id", "source", "__src", "__tok", "__ord"))
@@ -100,7 +102,17 @@ def assign(docs: DataFrame, plan: DataFrame | None = None, budget: int | None =
     return out.orderBy("position", "__ord").drop("__ord")
 
 
-def mix(docs: DataFrame, plan: DataFrame | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, digits: int = DIGITS) -> DataFrame:
+def shortfall(docs: DataFrame, max_epochs: int, plan: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """source, demand and supply (tokens, all epochs) of each source that ``max_epochs`` cuts short."""
+    supply = measured(docs.select("doc_id", "text", "source")).groupBy(F.col("__src").alias("src")).agg(F.sum("__tok").alias("supply"))
+    plan = default_schedule(supply) if plan is None else plan
+    total = F.lit(budget).cast("long") if budget else F.sum("supply").over(Window.partitionBy())
+    share = plan.groupBy("src").agg(F.sum((F.col("w0") + F.col("w1")) * (F.col("t1") - F.col("t0")) / 2).alias("share"))
+    d = supply.withColumn("budget", total).join(share, "src").select(F.nullif("src", F.lit(NULL_SOURCE)).alias("source"), (F.col("share") * F.col("budget")).alias("demand"), (F.col("supply") * max_epochs).alias("supply"))
+    return d.where("demand > supply")
+
+
+def mix(docs: DataFrame, plan: DataFrame | None = None, budget: int | None = None, max_epochs: int | None = None, digits: int = DIGITS) -> DataFrame:
     """The rows of docs, range-sorted by position, as often as they are used."""
     scratch = Scratch(docs.sparkSession)
     whole = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")

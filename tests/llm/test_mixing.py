@@ -82,3 +82,18 @@ def test_empty_and_bad(spark):
     for bad in ({}, {"a": [(0.0, 1.0)]}, {"a": [(0.0, 0.0), (1.0, 1.0)]}, {"a": [(0.0, 1.0), (1.0, 1.0)], "b": [(0.0, 1.0), (0.9, 1.0)]}):
         with pytest.raises(ValueError):
             M.schedule(spark, bad)
+
+
+def test_small_sources_meet_their_demand(spark):
+    size = {"big": 3600, "a": 80, "b": 80, "c": 80, "d": 80, "e": 80, "tiny": 2}
+    df = spark.createDataFrame([(k, "t" * 99, s, 1, "z", 2) for k, s in enumerate(s for s, n in size.items() for _ in range(n))], SCHEMA)
+    got = M.assign(df).collect()
+    total = sum(size.values())
+    weight = lambda s, p: size[s] ** p / sum(n**p for n in size.values())
+    for s in size:
+        want = (weight(s, M.START) + weight(s, M.END)) / 2 * total
+        assert abs(sum(r["source"] == s for r in got) - want) <= 1, s
+    assert max(r["epoch"] for r in got) > M.MAX_EPOCHS and max(r["position"] for r in got if r["source"] == "tiny") > 0.8
+    lacks = {r["source"]: (r["demand"], r["supply"]) for r in M.shortfall(df, 4).collect()}
+    assert set(lacks) == {"tiny"} and lacks["tiny"][0] > lacks["tiny"][1] == 800
+    assert sum(r["source"] == "tiny" for r in M.assign(df, max_epochs=4).collect()) == 8
