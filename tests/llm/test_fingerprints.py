@@ -47,37 +47,32 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)
 
 
-def brute(rows):
-    known = [(i, t.encode()) for i, t in rows if i is not None and t is not None]
-    lead: dict = {}
-    for i, b in known:
-        lead[b[: P.ANCHOR]] = min(lead.get(b[: P.ANCHOR], i), i)
+def shared(x: bytes, y: bytes) -> int:
+    n = 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    return n
+
+
+def compare(got, rows):
+    """Every row is there; common_bytes is the longest shared opening, to the byte, and neighbor shares it."""
+    assert sorted(map(repr, ((r["doc_id"], r["n_bytes"]) for r in got))) == sorted(repr((i, None if t is None else len(t.encode()))) for i, t in rows)
+    known = sorted((t.encode(), i) for i, t in rows if i is not None and t is not None)
     texts: dict = {}
-    for i, b in known:
+    want: dict = {}
+    for k, (b, i) in enumerate(known):  # in the order of bytes the best is beside
+        best = max([0, *(shared(b, known[j][0]) for j in (k - 1, k + 1) if 0 <= j < len(known))])
+        want.setdefault((i, len(b)), set()).add(best)
         texts.setdefault(i, []).append(b)
-    out = []
-    for i, t in rows:
-        if t is None or i is None:
-            out.append((i, None if t is None else len(t.encode()), None, {None}))
+    for r in got:
+        i, n = r["doc_id"], r["n_bytes"]
+        if i is None or n is None:
+            assert r["neighbor"] is None and r["common_bytes"] is None
             continue
-        b = t.encode()
-        j = lead[b[: P.ANCHOR]]
-        choices = set()
-        for x in texts[j]:
-            n = 0
-            while n < min(len(x), len(b)) and x[n] == b[n]:
-                n += 1
-            choices.add(len(b) if x == b else n // P.STRIDE * P.STRIDE)
-        out.append((i, len(b), j, choices))
-    return out
-
-
-def compare(got, want):
-    key = lambda x: (str(x[0]), str(x[1]))
-    got = sorted(((r["doc_id"], r["n_bytes"], r["leader"], r["common_bytes"]) for r in got), key=key)
-    assert len(got) == len(want)
-    for g, w in zip(got, sorted(want, key=key), strict=True):
-        assert g[:3] == w[:3] and g[3] in w[3], (g, w)
+        assert r["common_bytes"] in want[i, n], r
+        assert (r["neighbor"] is None) == (r["common_bytes"] == 0)
+        if r["neighbor"] is not None:
+            assert any(shared(x, y) == r["common_bytes"] for x in texts[i] for y in texts[r["neighbor"]])
 
 
 def test_against_brute_force(spark):
@@ -90,7 +85,7 @@ def test_against_brute_force(spark):
         rows.append((i, t[:k] + r.choice(["", "x", t[k:]]) + "y" * r.randint(0, 2)))
     rows += [(200, None), (None, base[0]), (201, ""), (202, ""), (203, "z" * 300_000), (204, "z" * 300_001), (205, "q"), (205, "q")]
     got = P.fingerprint(frame(spark, rows)).collect()
-    compare(got, brute(rows))
+    compare(got, rows)
     prints: dict = {}
     for x in got:
         if x["fingerprint"] is not None:
@@ -102,6 +97,29 @@ def test_against_brute_force(spark):
     assert sorted(map(str, map(sorted, [[str(x) for x in v] for v in prints.values()]))) == sorted(map(str, map(sorted, [[str(x) for x in v] for v in texts.values()])))
 
 
+def test_every_length_of_common_opening(spark):
+    r = random.Random(4)
+    base = "".join(r.choices("abcdefgh", k=1400))
+    rows = []
+    for n in [*range(0, 300), *range(500, 530), *range(1020, 1030)]:  # each pair of its own first letter and opening
+        mark = chr(0x4E00 + n)
+        rows += [(2 * n, mark + base[:n]), (2 * n + 1, mark + base[:n] + "#" * (n % 3) + "!")]
+    got = {x["doc_id"]: x for x in P.fingerprint(frame(spark, rows)).collect()}
+    compare(list(got.values()), rows)
+    for n in (0, 1, 12, 13, 14, 60, 61, 62, 200, 253, 299, 509, 510, 1021):
+        assert got[2 * n]["common_bytes"] == len((chr(0x4E00 + n) + base[:n]).encode())
+
+
+def test_one_opening_everywhere(spark):
+    rows = [(i, "The same opening of all texts. " * 30 + str(i % 700)) for i in range(3000)]
+    compare(P.fingerprint(frame(spark, rows).repartition(7)).collect(), rows)
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("u-1", "abcd"), ("u-2", "abxx"), (None, "ab")], "doc_id string, text string")
+    assert {(r["doc_id"], r["neighbor"], r["common_bytes"]) for r in P.fingerprint(df).collect()} == {("u-1", "u-2", 2), ("u-2", "u-1", 2), (None, None, None)}
+
+
 def test_empty(spark):
     assert P.fingerprint(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
@@ -110,4 +128,4 @@ def test_query_against_brute_force(spark, sf):
     from lodestrata.llm.entries import QUERIES
 
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    compare(QUERIES["op10_fingerprints"](spark, sf).collect(), brute(rows))
+    compare(QUERIES["op10_fingerprints"](spark, sf).collect(), rows)
