@@ -1,6 +1,8 @@
-"""Exact top-k search by distributed histogram selection; every row is a query.
+"""Exact top-k search by distributed histogram selection.
 
-Vectors lie in blocks; each pair of blocks is scored in one matrix product.
+Queries are the rows whose vec_id is divisible by 100 (or meets another
+condition given); all rows are searched.  Both lie in blocks, and each pair of a
+block of queries and a block of rows is scored in one matrix product.
 Scores are cosines on a grid of 1e-9.  A round counts, for every query, its
 scores by bins of the range still open; the counts of all splits are added up
 and the bin that holds the k-th greatest is opened next, until few scores or
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch, width
 
 K = 10
+QUERIES = "vec_id % 100 = 0"
 BLOCK = 2048
 SIDES = 4
 GRID = 10**9
@@ -34,12 +37,15 @@ SHIFTS = (20, 10, 0)
 TOP = 1 << 31
 
 
-def block_table(vectors: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """(dim, blk, ids, vecs): the vectors, in blocks by hash, in order of vec_id."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding, dim): one row for each vec_id that has a vector to compare."""
     good = F.expr("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(good)
-    v = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    v = scratch.table(v)
+    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+
+
+def block_table(v: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """(dim, blk, ids, vecs): the vectors, in blocks by hash, in order of vec_id."""
     n = v.groupBy("dim").count().withColumn("blocks", F.ceil(F.col("count") / block)).drop("count")
     v = v.join(n, "dim").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     rows = v.groupBy("dim", "blk").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
@@ -117,7 +123,7 @@ def chooser(k: int):
     def choose(batches):
         for _, ids, q, extra, xid, x in pairs_of(batches, names):
             for c in range(0, len(ids), 512):
-                lo = extra["lo"][c : c + 512]
+                lo = extra["lo"][c : c + 512] - 1  # products of other shapes may round to the next grid value
                 u = scores(q[c : c + 512], x)
                 ok = (u >= lo[:, None]) & (xid[None] != ids[c : c + 512, None])
                 r, j = np.nonzero(ok)
@@ -144,19 +150,23 @@ def joined(blocks: DataFrame, queries: DataFrame, splits: int) -> DataFrame:
     return q.repartition(n, *cell).join(x.repartition(n, *cell).hint("shuffle_hash"), cell).drop("split", "side")
 
 
-def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """vec_id, neighbor_id, rank (from 1) and score (cosine) of each vector's k nearest."""
+def search(vectors: DataFrame, k: int = K, block: int = BLOCK, queries: str = QUERIES) -> DataFrame:
+    """vec_id, neighbor_id, rank (from 1) and score (cosine): the k nearest of all rows to each row that is a query.
+
+    ``queries`` is a condition over vec_id that tells the queries; all rows are searched.
+    """
     if k < 1:
         raise ValueError("k must be 1 at least")
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    blocks = block_table(vectors, scratch, block)
+    good = scratch.table(usable(vectors))
+    blocks, asked = block_table(good, scratch, block), block_table(good.where(queries), scratch, block)
     splits = max(1, min(width(spark), blocks.count()))
-    state = blocks.select("dim", "blk", F.explode("ids").alias("vec_id"), F.lit(0).cast("long").alias("lo"), F.lit(TOP).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
+    state = asked.select("dim", "blk", F.explode("ids").alias("vec_id"), F.lit(0).cast("long").alias("lo"), F.lit(TOP).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
     for shift in SHIFTS:
         sides = state.groupBy("dim", "blk").agg(F.array_sort(F.collect_list(F.struct("vec_id", "lo", "hi"))).alias("r"))
         sides = sides.select("dim", "blk", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
-        q = blocks.join(sides, ["dim", "blk"]).select("dim", "blk", "ids", "vecs", "lo", "hi").where("exists(sequence(1, size(lo)), i -> lo[i - 1] < hi[i - 1])")
+        q = asked.join(sides, ["dim", "blk"]).select("dim", "blk", "ids", "vecs", "lo", "hi").where("exists(sequence(1, size(lo)), i -> lo[i - 1] < hi[i - 1])")
         h = joined(blocks, q, splits).mapInArrow(counter(k, shift), "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("vec_id").orderBy(F.desc("bin"))
         h = h.withColumn("upto", F.sum("n").over(down)).join(state.select("vec_id", "above"), "vec_id")
@@ -167,11 +177,14 @@ def search(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
         lo = F.when(F.col("bin").isNull(), F.col("lo")).otherwise(F.col("lo") + F.shiftleft("bin", shift))
         total = F.col("above") + F.col("upto")
         done = F.col("bin").isNull() | (total <= 4 * k) | F.lit(shift == 0)
-        state = scratch.table(s.select("dim", "blk", "vec_id", lo.alias("lo"), F.when(done, lo).otherwise(lo + (1 << shift)).alias("hi"), F.when(F.col("bin").isNull(), F.col("above")).otherwise(total - F.col("n")).alias("above")))
+        new = scratch.table(s.select("dim", "blk", "vec_id", lo.alias("lo"), F.when(done, lo).otherwise(lo + (1 << shift)).alias("hi"), F.when(F.col("bin").isNull(), F.col("above")).otherwise(total - F.col("n")).alias("above")))
+        if shift != SHIFTS[0]:
+            scratch.drop(state)
+        state = new
         if state.where("hi > lo").isEmpty():
             break
     sides = state.groupBy("dim", "blk").agg(F.array_sort(F.collect_list(F.struct("vec_id", "lo"))).alias("r"))
-    q = blocks.join(sides.select("dim", "blk", F.col("r.lo").alias("lo")), ["dim", "blk"]).select("dim", "blk", "ids", "vecs", "lo")
+    q = asked.join(sides.select("dim", "blk", F.col("r.lo").alias("lo")), ["dim", "blk"]).select("dim", "blk", "ids", "vecs", "lo")
     found = joined(blocks, q, splits).mapInArrow(chooser(k), "vec_id long, neighbor_id long, u long")
     best = Window.partitionBy("vec_id").orderBy(F.desc("u"), "neighbor_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -185,7 +198,7 @@ with v as (select vec_id, min(embedding::double[]) e from embeddings
 n as (select vec_id, e, list_dot_product(e, e) q from v),
 s as (select a.vec_id, b.vec_id neighbor_id,
              case when a.q = 0 or b.q = 0 then 0 else round(list_dot_product(a.e, b.e) / sqrt(a.q) / sqrt(b.q), 9) end c
-      from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+      from (select * from n where {QUERIES}) a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
 r as (select *, row_number() over (partition by vec_id order by c desc, neighbor_id) rank from s)
 select vec_id, neighbor_id, rank::int rank, round(c, 6) score from r where rank <= {K}
 """
