@@ -1,9 +1,10 @@
 """Regular expressions compiled, all together, to one deterministic automaton over bytes.
 
-Syntax: literals, ``\\`` escapes (``\\d \\w \\s`` in ASCII), ``.`` (any byte but a
-newline), classes, groups, ``|``, ``? * +`` and ``{m} {m,} {m,n}``.  Characters
-are ASCII.  A match begins at the text's start or after a byte that is no
-letter, digit or ``_``.
+Syntax: literals, ``\\`` escapes (``\\d \\w \\s`` in ASCII), ``.`` (any character but
+a newline), classes, groups, ``|``, ``? * +`` and ``{m} {m,} {m,n}``.  Characters
+that a rule names are ASCII; ``.``, ``\\D \\W \\S`` and negated classes take every other
+character of UTF-8 as a whole.  A match begins at the text's start or after a
+character that is no ASCII letter, digit or ``_``.
 """
 
 from __future__ import annotations
@@ -13,10 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ._text import mix
+
 DIGIT = frozenset(range(48, 58))
 WORDS = frozenset([*range(48, 58), *range(65, 91), *range(97, 123), 95])
 SPACES = frozenset([9, 10, 11, 12, 13, 32])
-ALL = frozenset(range(256))
+ALL = frozenset(range(128))
+EVERY = frozenset(range(256))
+_NEXT = ("set", frozenset(range(0x80, 0xC0)))
+#: A character beyond ASCII, in UTF-8.
+BEYOND = [("cat", [("set", frozenset(range(a, b))), *[_NEXT] * k]) for a, b, k in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF5, 3))]
 ESCAPES = {"d": DIGIT, "w": WORDS, "s": SPACES, "D": ALL - DIGIT, "W": ALL - WORDS, "S": ALL - SPACES, "n": frozenset([10]), "t": frozenset([9]), "r": frozenset([13])}
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*WORDS]] = True
@@ -86,9 +93,11 @@ class Parser:
             return tree
         if c == ".":
             self.take()
-            return ("set", ALL - {10})
+            return ("alt", [("set", ALL - {10}), *BEYOND])
         if c != "[":
-            return ("set", self.one())
+            wide = self.t[self.i : self.i + 2] in ("\\D", "\\W", "\\S")
+            part = ("set", self.one())
+            return ("alt", [part, *BEYOND]) if wide else part
         self.take()
         negated = self.peek() == "^"
         self.i += negated
@@ -100,7 +109,7 @@ class Parser:
                 part = frozenset(range(min(part), max(self.one()) + 1))
             got |= part
         self.take()
-        return ("set", ALL - got if negated else frozenset(got))
+        return ("alt", [("set", ALL - got), *BEYOND]) if negated else ("set", frozenset(got))
 
 
 class Nfa:
@@ -189,25 +198,38 @@ def relaxed(tree, most: int):
 
 def determine(nfa: Nfa, first: frozenset, accepts: dict[int, int], absorb: bool = False, limit: int = 50_000) -> Dfa:
     """Subset construction and minimisation.  With ``absorb``, whatever follows a match is accepted."""
-    won = frozenset(list(accepts)[:1])
     sets = [s[0] for s in nfa.step if s]
     kinds: dict[tuple, int] = {}
     cls = np.array([kinds.setdefault(tuple(b in s for s in set(sets)), len(kinds)) for b in range(256)])
     byte_of = [int(np.flatnonzero(cls == c)[0]) for c in range(len(kinds))]
-    # Subsets hold the states that step on or accept; after[s]: (class, subset reached) of each state s.
+    # Subsets are bit masks of the states that step on or accept; a state steps on its set's classes to one mask.
     useful = {s for s, x in enumerate(nfa.step) if x} | accepts.keys()
-    after = {s: [(c, nfa.closure([x[1]]) & useful) for c, b in enumerate(byte_of) if b in x[0]] for s, x in enumerate(nfa.step) if x}
-    first = frozenset(first & useful)
-    ids, todo, rows, rules = {frozenset(): 0, first: 1}, [frozenset(), first], [], []
+    mask = lambda states: sum(1 << s for s in states)
+    classes = {of: [c for c, b in enumerate(byte_of) if b in of] for of in set(sets)}
+    after = {s: (x[0], mask(nfa.closure([x[1]]) & useful)) for s, x in enumerate(nfa.step) if x}
+    accepting, won = mask(accepts), 1 << min(accepts)
+    start = mask(first & useful)
+    ids, todo, rows, rules = {0: 0, start: 1}, [0, start], [], []
     for subset in todo:  # grows
-        rules.append(min((accepts[s] for s in subset if s in accepts), default=-1))
-        reached: list[set] = [set() for _ in byte_of]
-        for s in subset:
-            for c, to in after.get(s, ()):
+        members, left = [], subset
+        while left:
+            low = left & -left
+            members.append(low.bit_length() - 1)
+            left ^= low
+        rules.append(min((accepts[s] for s in members if s in accepts), default=-1))
+        to_by: dict[frozenset, int] = {}
+        for s in members:
+            if s in after:
+                of, to = after[s]
+                to_by[of] = to_by.get(of, 0) | to
+        reached = [0] * len(byte_of)
+        for of, to in to_by.items():
+            for c in classes[of]:
                 reached[c] |= to
         row = []
-        for got in reached:
-            to = won if absorb and (subset == won or not accepts.keys().isdisjoint(got)) else frozenset(got)
+        for to in reached:
+            if absorb and (subset == won or to & accepting):
+                to = won
             if to not in ids:
                 ids[to] = len(todo)
                 todo.append(to)
@@ -217,9 +239,13 @@ def determine(nfa: Nfa, first: frozenset, accepts: dict[int, int], absorb: bool
         rows.append(row)
     t, rule = np.array(rows), np.array(rules)
     block = np.unique(rule, return_inverse=True)[1]
-    while True:  # Moore: split blocks until successors agree
-        sign = np.column_stack([block, block[t]])
-        new = np.unique(sign, axis=0, return_inverse=True)[1].ravel()
+    salt = np.random.default_rng(5).integers(1, 1 << 62, len(byte_of) + 1, dtype=np.int64).astype(np.uint64)
+    while True:  # Moore: split blocks until successors agree, rows of blocks known by a 64-bit hash
+        b = mix(block.astype(np.uint64) + np.uint64(1))
+        sign = b * salt[0]
+        for c in range(len(byte_of)):
+            sign += mix(b[t[:, c]] * salt[c + 1])
+        new = np.unique(sign, return_inverse=True)[1]
         if new.max() == block.max():
             break
         block = new
@@ -256,7 +282,7 @@ def compiled(rules: list[str], most: int = 3) -> tuple[Dfa, Dfa]:
             accepts[end] = k
         nfa.eps[other].append(head)
         for s in (word, other):  # what the last byte was
-            for to, of in ((word, WORDS), (other, ALL - WORDS)):
+            for to, of in ((word, WORDS), (other, EVERY - WORDS)):
                 x = nfa.state()
                 nfa.eps[s].append(x)
                 nfa.step[x] = (of, to)
@@ -304,30 +330,40 @@ def hits(dfa: Dfa, d: np.ndarray, o: np.ndarray, lanes: int = 24) -> np.ndarray:
     return found
 
 
-def spans(dfa: Dfa, d: np.ndarray) -> list[tuple[int, int, int]]:
+def spans(dfa: Dfa, d: np.ndarray, every: int = 16) -> list[tuple[int, int, int]]:
     """(start, end, rule) of the leftmost, then longest matches of one document, apart from each other.
 
-    All starts advance together; most die on their first byte.
+    Starts are tried from the left, those inside a match left out.  At every
+    ``every`` bytes a run notes what came of its state; a later run that reaches
+    the same state there ends the same way, so no text is read again and again.
     """
+    code = dfa.cls[d]
     ok = np.ones(len(d), bool)
     ok[1:] = ~IS_WORD[d[:-1]]
-    start = np.flatnonzero(ok)
-    s = np.full(len(start), dfa.start, np.int32)
-    best = np.zeros(len(d), np.int64)
-    rule = np.full(len(d), -1)
-    k = 0
-    code = dfa.cls[d]
-    while len(start):
-        s = dfa.table[s + code[start + k]]
-        k += 1
-        acc = s >= dfa.accepting
-        best[start[acc]] = start[acc] + k
-        rule[start[acc]] = dfa.rule[s[acc] // dfa.classes]
-        live = (s > 0) & (start + k < len(d))
-        start, s = start[live], s[live]
+    starts = np.flatnonzero(ok & (dfa.table[dfa.start + code] > 0))
+    table, codes, n, accepting = dfa.table.tolist(), code.tolist(), len(d), dfa.accepting
+    known: dict[tuple[int, int], tuple[int, int]] = {}
     out, last = [], 0
-    for i in np.flatnonzero(best).tolist():
-        if i >= last:
-            last = int(best[i])
-            out.append((i, last, int(rule[i])))
+    for first in starts.tolist():
+        if first < last:
+            continue
+        s, k, end, state, passed = dfa.start, first, 0, 0, []
+        while k < n:
+            s = table[s + codes[k]]
+            if not s:
+                break
+            k += 1
+            if s >= accepting:
+                end, state = k, s
+            if not k % every:
+                if (k, s) in known:
+                    if known[k, s][0]:
+                        end, state = known[k, s]
+                    break
+                passed.append((k, s))
+        for x in passed:
+            known[x] = (end, state) if end > x[0] else (0, 0)
+        if end:
+            last = end
+            out.append((first, end, int(dfa.rule[state // dfa.classes])))
     return out

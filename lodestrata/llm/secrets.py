@@ -2,7 +2,9 @@
 
 The rules are compiled on the driver to transition arrays, which travel with
 the tasks.  Every byte of every text is read once by the automaton that tells
-which texts hold a match at all; only in those are the spans looked for.
+which texts hold a match at all; only in those are the spans looked for, in time
+that grows with the text alone.  A private key ends where its base64 lines (24
+characters at least, before its END any) do, so that no prose goes with it.
 Spans are the leftmost, then longest matches, apart from each other, counted in
 characters from 0.
 
@@ -33,6 +35,8 @@ _ASSIGN = r"[ \t]{0,4}(?:=|:|=>|:=)[ \t]{0,4}[\"']?"
 #: What an identifier has before a keyword, as in DB_PASSWORD or dbPassword; after ``.`` or ``-`` a match begins anew.
 _NAME = r"[A-Za-z0-9_]*"
 _HEADERS = r"(?:\s*(?:Proc-Type|Content-Domain|DEK-Info|Key-Info|MIC-Info|Originator-ID|Comment):[^\r\n]*)*"
+#: Line ends, also as they are written inside strings.
+_GAP = r"(?:\s|\\[nr])"
 RULES = {
     "aws_access_key": r"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
@@ -44,7 +48,7 @@ RULES = {
     "gitlab_token": r"glpat-[A-Za-z0-9_\-]{20,}",
     "npm_token": r"npm_[A-Za-z0-9]{36}",
     "json_web_token": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----" + _HEADERS + r"[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----" + _HEADERS + rf"(?:(?:{_GAP}+[A-Za-z0-9+/]{{24,}}={{0,2}})*|(?:{_GAP}+[A-Za-z0-9+/]+={{0,2}})*{_GAP}*-----END [A-Z ]{{0,24}}PRIVATE KEY-----)",
     "url_password": r"[a-z][a-z0-9+.\-]{1,12}://[A-Za-z0-9._\-]{1,40}:[^\s/@:\"']{3,}@[A-Za-z0-9.\-]+",
     "bearer": r"[Bb]earer[ \t]{1,4}[A-Za-z0-9._~+/\-]{20,}=*",
     "assigned": _NAME + r"(?:[Aa][Pp][Ii][_\-]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt](?:[_\-]?[Kk][Ee][Yy])?|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Kk][Ee][Yy]|[Aa][Uu][Tt][Hh][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Aa][Cc][Cc][Ee][Ss][Ss][_\-]?[Tt][Oo][Kk][Ee][Nn]|[Tt][Oo][Kk][Ee][Nn])[\"']?" + _ASSIGN + r"[A-Za-z0-9+/_\-]{16,}=*[\"']?",
@@ -85,7 +89,7 @@ def finder(rules: dict[str, str]):
                 raw, at, chars = text[k].as_py().encode(), 0, 0
                 for s, e, r in found:
                     chars += len(raw[at:s].decode())
-                    size = len(raw[s:e].decode(errors="replace"))
+                    size = len(raw[s:e].decode())
                     row.append({"rule": names[r], "start": chars, "end": chars + size, "sha256": hashlib.sha256(raw[s:e]).hexdigest()})
                     at, chars = e, chars + size
             got.append(row)
