@@ -4,7 +4,7 @@ Heuristic labellers vote bad, good or abstain on every document.  The votes of
 all documents are counted by pattern (at most 3^labellers patterns, whatever
 the corpus), and expectation-maximisation over the counts estimates each
 labeller's accuracy and each pattern's probability of being good.  Those
-posteriors label a sample of ``sample_rows`` documents in expectation (the one
+posteriors label a sample of at most ``sample_rows`` different texts (the one
 bounded part: fitting), on which a linear scorer over hashed byte trigrams and
 hashed word shapes is trained; the scorer then reads every document.
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ._scratch import width
 from ._text import SPACE, U, blocks, mix, per_doc, runs
 
 SAMPLE_ROWS = 6000
@@ -151,25 +152,29 @@ def scores(arr: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Weights of the linear scorer (trigrams, shapes, bias), by full-batch Adam on soft targets."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, batches: int = 12) -> np.ndarray:
+    """Weights of the linear scorer (trigrams, shapes, bias), by Adam over batches, on soft targets."""
     w = np.zeros(TRIGRAMS + SHAPES + 1)
     if not len(rows):
         return w
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
     weight = np.abs(2 * target - 1)  # what the labellers leave open teaches little
     bad = (weight * (1 - target)).sum()
     good = (weight * target).sum()
     weight = weight * np.where(target < 0.5, 0.5 / max(bad, 1e-9), 0.5 / max(good, 1e-9))
-    m, s = np.zeros_like(w), np.zeros_like(w)
-    for r in range(1, rounds + 1):
-        z = np.bincount(doc, val * w[idx], len(rows)) + w[-1]
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-        grad = np.append(np.bincount(idx, val * g[doc], TRIGRAMS + SHAPES), g.sum()) + 1e-7 * w
-        m = 0.9 * m + 0.1 * grad
-        s = 0.99 * s + 0.01 * grad**2
-        w -= 0.5 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-8)
+    parts = []
+    for k in np.array_split(np.arange(len(rows)), min(batches, len(rows))):
+        idx, val = np.concatenate([rows[i][0] for i in k]), np.concatenate([rows[i][1] for i in k]).astype(np.float64)
+        parts.append((k, np.repeat(np.arange(len(k)), [len(rows[i][0]) for i in k]), idx, val))
+    m, s, r = np.zeros_like(w), np.zeros_like(w), 0
+    for _ in range(epochs):
+        for k, doc, idx, val in parts:
+            r += 1
+            z = np.bincount(doc, val * w[idx], len(k)) + w[-1]
+            g = len(parts) * weight[k] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target[k])
+            grad = np.append(np.bincount(idx, val * g[doc], TRIGRAMS + SHAPES), g.sum()) + 1e-7 * w
+            m = 0.9 * m + 0.1 * grad
+            s = 0.99 * s + 0.01 * grad**2
+            w -= 0.5 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-8)
     return w
 
 
@@ -185,9 +190,9 @@ def sampled(text: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Votes over all documents, then the scorer from a sample of sample_rows in expectation.
+    """Votes over all documents, then the scorer from at most sample_rows different texts.
 
-    The sample is every document whose text's hash falls below the share wanted.
+    The sample is the least hashes of texts; equal texts are one, however many there are.
     """
     texts = docs.select("text").where("text is not null")
     counted = texts.select(pattern("text").alias("p")).groupBy("p").count().where("p >= 0").collect()
@@ -195,9 +200,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     codes = np.array([r["p"] for r in counted], np.int64)
     post, _, _ = estimate(codes, np.array([r["count"] for r in counted], np.int64))
     good = dict(zip(codes.tolist(), post.tolist(), strict=True))
-    share = min(1.0, sample_rows / max(total, 1))
-    rows = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else texts
-    got = rows.select(sampled("text").alias("s")).select("s.*").where("pattern >= 0").toArrow()
+    share = min(1.0, 2 * sample_rows / max(total, 1))
+    h = F.xxhash64("text", F.lit(3)).bitwiseAND((1 << 62) - 1)
+    rows = texts.withColumn("h", h).where(F.col("h") <= int(share * ((1 << 62) - 1)))
+    rows = rows.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_rows).repartition(width(docs.sparkSession))
+    got = rows.select("h", sampled("text").alias("s")).select("h", "s.*").where("pattern >= 0").toArrow().sort_by("h")
     target = np.array([good[p] for p in got["pattern"].to_pylist()])
     return fit([(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(got["idx"], got["val"], strict=True)], target)
 

@@ -53,6 +53,27 @@ def test_against_labels(spark, sf):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.15
 
 
+def test_query_against_labels(spark, sf):
+    from lodestrata.llm.entries import QUERIES
+
+    sf = sf.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = QUERIES["op3_quality_classifier"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert np.mean([r["keep"] == (labels[r["doc_id"]] == 1) for r in got if r["doc_id"] in labels]) > 0.95
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    sizes = []
+    fit = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda rows, target: sizes.append(len(rows)) or fit(rows, target))
+    df = spark.range(40_000).selectExpr("id doc_id", "'The same page of all, which was here before.' text")
+    df = df.union(spark.range(3000).selectExpr("id", "concat('Another page, and it was number ', id, ' of them.')"))
+    Q.train(df, 500)
+    Q.train(df.limit(40_000), 500)
+    assert sizes[0] <= 500 and sizes[1] <= 1
+
+
 def test_cases(spark):
     good = "The river ran past the old mill, and the miller went out to see it. It was late in the day."
     junk = "$$$ ### @@@ %%% &&& *** !!! ||| ~~~ ^^^ $$$ ### @@@ %%% &&& ***"
