@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
@@ -22,13 +22,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = scratch.table(e)
     state = _state(e)
-    w = Window.partitionBy("u")
     while state[0]:
         both = e.union(e.select("v", "u"))
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        m = large.withColumn("m", F.min("v").over(w))
-        small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", "m")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         new = scratch.table(small)
         scratch.drop(e)
         e, before, state = new, state, _state(new)

@@ -64,7 +64,44 @@ def test_groups_of_thousands(spark):
     texts = [" ".join(base[: i % 97] + [f"q{i}"] + base[i % 97 + 1 :]) for i in range(1500)] + [" ".join(words(r, 50)) for _ in range(50)]
     got = N.near_duplicates(frame(spark, texts)).collect()
     assert sum(x["duplicate_of"] == 0 for x in got) >= 0.99 * 1499 and all(x["doc_id"] < 1500 for x in got)
-    assert N.dedup(frame(spark, texts)).count() <= 50 + 1500 - len(got)
+    assert N.dedup(frame(spark, texts)).count() == 51 + 1500 - len(got)
+    assert all(x["links"] == len(got) - 1 == x["group_size"] - 1 for x in got)
+
+
+def test_deep_regions_lose_no_near_pairs(spark):
+    """Regions far beyond the tile go deeper; every link is counted once, wherever a pair meets."""
+    r = np.random.default_rng(8)
+    common = [words(r, 25) for _ in range(12)]
+    texts = []
+    for i in range(1200):
+        own = [f"o{i // 3 if i < 300 else i}x{k}" for k in range(50)]
+        if i < 300:
+            own[int(r.integers(0, 50))] = f"p{i}"
+        texts.append(" ".join(common[i // 3 % 12] + own))
+    sets = [shingles(t) for t in texts]
+    got = {x["doc_id"]: x for x in N.near_duplicates(frame(spark, texts), tile=12).collect()}
+    assert set(got) == set(range(300))
+    for i, x in got.items():
+        assert x["duplicate_of"] == i // 3 * 3 and x["group_size"] == 3
+        assert x["links"] == sum(len(sets[i] & sets[j]) >= N.THRESHOLD * len(sets[i] | sets[j]) for j in range(i // 3 * 3, i // 3 * 3 + 3)) - 1
+
+
+def test_copies_and_links(spark):
+    r = np.random.default_rng(9)
+    base = words(r, 80)
+    near = base[:40] + ["z"] + base[41:]
+    texts = [" ".join(base)] * 5 + [" ".join(near)] * 3 + [" ".join(words(r, 60))] * 2 + [" ".join(words(r, 60))]
+    got = {(x["doc_id"], x["duplicate_of"], x["text_id"], x["links"], x["group_size"]) for x in N.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {(i, 0, 0 if i < 5 else 5, 1, 8) for i in range(8)} | {(i, 8, 8, 0, 2) for i in (8, 9)}
+
+
+def test_one_doc_id_with_several_texts(spark):
+    r = np.random.default_rng(10)
+    x, y = " ".join(words(r, 60)), " ".join(words(r, 60))
+    rows = [(1, x, "s", 1, "h", "x"), (1, y, "s", 1, "h", "x"), (2, x, "s", 1, "h", "x"), (3, y, "s", 1, "h", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(g["doc_id"], g["keeper"]) for g in N.groups(df).collect()} == {(2, 1), (3, 1)}
+    assert [g["doc_id"] for g in N.dedup(df).collect()] == [1]
 
 
 def test_cases(spark):
