@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,6 +102,12 @@ def merge_json(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([merge_text(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def merge_all(parts: pd.Series) -> pd.Series:
+    """Arrays of objects, each merged from the first to the last."""
+    return pd.Series([reduce(merge_text, x) for x in parts], dtype=object)
+
+
 def deep_millis(path: str):
     @F.pandas_udf(T.LongType())
     def find(text: pd.Series) -> pd.Series:

@@ -42,15 +42,15 @@ def infer(docs: DataFrame, version: int = 2) -> DataFrame:
     return out.select("_index", "_type", "field", "m.type", F.col("m.format").alias("format") if version == 2 else F.lit(None).cast("string").alias("format"))
 
 
-def leaves(docs: DataFrame, *carried: str, indexed: bool = False, depth: int = 32) -> DataFrame:
+def leaves(docs: DataFrame, *carried: str, indexed: bool = False) -> DataFrame:
     """(carried..., field, value): every leaf under its path; array places are left out, or ``[i]``.
 
-    One level at a time, until no object or array is left among the values (or ``depth``).
+    One level at a time, until no object or array is left among the values.
     """
     spark = docs.sparkSession
     level = top_level(docs, *carried).select(*carried, F.col("key").alias("field"), "value")
     out = None
-    for _ in range(depth):
+    while True:
         nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
         flat = level.where(~nested)
         out = flat if out is None else out.unionByName(flat)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from .functions.fields import Fields
 from .functions.json import flatten_json, shard_offset, timestamp_of, with_buckets
 from .operators import mapping, stats, writes
+from .operators.place import placed, shared_dir
 from .plans.parse import parse_query
 from .plans.tree import Semantics
 from .search.compile import Compiler
 from .search.engine import Engine
-from .sources.catalog import Catalog
+from .sources.catalog import COLUMNS, Catalog
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,6 +155,21 @@ def index_union(spark, sf_dir):
     return engine(spark, sf_dir).search("ev*,ORDERS").matched.groupBy("_index").agg(F.count("*").alias("n"))
 
 
+@query("""select event_id::varchar _id, case when event_id % 50 = 7 then 'signup' else event_type end _type from events
+          where epoch_ms(ts) >= 1704500000000 and event_id % 50 <> 9""")
+def stored_search(spark, sf_dir):
+    """A stored index: written, compacted, then some documents replaced and others deleted, then searched by time."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    docs = engine(spark, sf_dir).search("events").matched.select(*COLUMNS)
+    store.append(docs)
+    store.compact("events")
+    n = F.col("_id").cast("long") % 50
+    store.delete(docs.where((n == 9) | (n == 7)))
+    store.append(docs.where(n == 7).withColumn("_type", F.lit("signup")))
+    found = Engine(spark, Catalog(spark, store)).search("ev*", {"query": {"range": {"_timestamp": {"gte": 1704500000000}}}})
+    return found.matched.select("_id", "_type")
+
+
 @query("select 0::bigint total")
 def empty_scan(spark, sf_dir):
     return engine(spark, sf_dir).search("nothing-*", {"query": {"term": {"k": "1"}}}).total
@@ -189,18 +207,18 @@ def q_sort_from_size(spark, sf_dir):
 def sorted_nulls(name: str, first: str, second: str, sql: str):
     def run(spark, sf_dir):
         o = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("s"))
-        return Engine(spark).table(o, {"sort": [{"s": first}, {"o_orderkey": second}], "size": 6000}).hits
+        return placed(Engine(spark).table(o, {"sort": [{"s": first}, {"o_orderkey": second}], "size": 10}).ordered)
 
-    QUERIES[name], ORACLES[name] = run, f"select o_orderkey, nullif(o_orderstatus, 'O') s from orders order by {sql} limit 6000"
+    QUERIES[name], ORACLES[name] = run, f"select o_orderkey, nullif(o_orderstatus, 'O') s, row_number() over (order by {sql}) place from orders"
 
 
 sorted_nulls("q_sort_nulls_last", "asc", "desc", "s asc nulls last, o_orderkey desc")
 sorted_nulls("q_sort_nulls_first", "desc", "asc", "s desc nulls first, o_orderkey asc")
 
 
-@query(f"select event_id::varchar _id from {EVENTS} order by case when not list_contains(json_keys(src), 'k') then null when src::json->>'k' is null then 0 else 2 end desc nulls first, (src::json->>'k')::double desc nulls first, event_id::varchar limit 3000")
+@query(f"select event_id::varchar _id, row_number() over (order by case when not list_contains(json_keys(src), 'k') then null when src::json->>'k' is null then 0 else 2 end desc nulls first, (src::json->>'k')::double desc nulls first, event_id::varchar) place from {EVENTS}")
 def q_sort_json(spark, sf_dir):
-    return engine(spark, sf_dir).search("events", {"sort": [{"k": "desc"}, "_id"], "size": 3000}).hits.select("_id")
+    return placed(engine(spark, sf_dir).search("events", {"sort": [{"k": "desc"}, "_id"], "size": 10}).ordered).select("_id", "place")
 
 
 @query("select event_id::varchar _id, 1.0::double _score from events where event_type = 'signup'")

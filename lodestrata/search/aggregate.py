@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.fields import BUCKETS, Fields
 from ..plans import tree as t
 from ..plans.errors import InvalidFieldType, NoSuchMapping, SearchError
-from .compile import Compiler
+from .compile import Compiler, is_number
 
 UNITS = {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 NAMED = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 86_400_000, "month": 86_400_000, "quarter": 86_400_000, "year": 365 * 86_400_000}
@@ -106,6 +106,9 @@ class Planner:
         if b.kind == "range":
             out = []
             for lo, hi in b.ranges:
+                if not self.semantics.range_as_text and any(isinstance(v, str) and not is_number(v) for v in (lo, hi)):  # dates
+                    out.append(self.compiler.on_range(t.Range(b.field, gte=lo, lt=hi)))
+                    continue
                 as_text = self.semantics.range_as_text
                 x = self.f.text(b.field) if as_text else self.f.number(b.field)
                 lit = (lambda v: F.lit(str(v))) if as_text else (lambda v: F.lit(float(v) if isinstance(v, float) or "." in str(v) else int(v)))

@@ -70,7 +70,8 @@ class Compiler:
     def on_match(self, q: t.Match) -> Column:
         c = self.f.text(q.field)
         if q.kind == "terms":
-            return reduce(and_ if q.operator == "and" else or_, [holds(c, w) for w in q.text.split(" ")])
+            words = q.text.rstrip(" ").split(" ")  # blanks at the end make no word
+            return reduce(and_ if q.operator == "and" else or_, [holds(c, w) for w in words])
         return holds(c, q.text, before=q.kind == "phrase")
 
     def on_contains(self, q: t.Contains) -> Column:

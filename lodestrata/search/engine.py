@@ -33,12 +33,15 @@ class SearchResult:
     def total(self) -> DataFrame:
         return self.matched.agg(F.count(F.lit(1)).alias("total"))
 
+    @property
+    def ordered(self) -> DataFrame:
+        """All that match, in order: sorted by ranges, for what no page holds."""
+        return self.matched.orderBy(*sort_columns(self.fields, self.request.sort)) if self.request.sort else self.matched
+
     @property
     def hits(self) -> DataFrame:
         """The page asked for, in order."""
-        df = self.matched
-        if self.request.sort:
-            df = df.orderBy(*sort_columns(self.fields, self.request.sort))
+        df = self.ordered
         if self.request.offset:
             df = df.offset(self.request.offset)
         return df.limit(self.request.size)

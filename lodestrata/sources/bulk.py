@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.json import clean, flatten_json, timestamp_of, with_buckets
 from .catalog import COLUMNS, Catalog
 
+#: A written NUL: its backslash isn't escaped itself.
+NUL = re.compile(r"(?<!\\)((?:\\\\)*)\\u0000")
 SPLIT = re.compile(r"(?<=\})\s*\n")
 
 
@@ -44,7 +46,7 @@ def parse_bulk(body: str, index: str | None = None, kind: str | None = None) ->
         if name is None or t is None:
             found.errors = True
             continue
-        found.rows.append((name, t, str(head.get("_id") or uuid.uuid4()), clean(doc.replace("\\u0000", ""))))
+        found.rows.append((name, t, str(head.get("_id") or uuid.uuid4()), clean(NUL.sub(r"\1", doc))))
     found.errors |= len(lines) % 2 == 1
     return found
 

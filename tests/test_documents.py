@@ -1,6 +1,7 @@
 """Ingestion, writes, stored indices, mapping, statistics, streaming."""
 
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -127,8 +128,14 @@ def test_store(spark, tmp_path):
         assert s.names() == ["x:1"]
         assert {r["_id"]: json.loads(r["_source"]) for r in s.read(["x:1"]).collect()} == want
         s.compact("x:1")
-    plan = s.read(["x:1"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [_index" in plan.replace("isnotnull(_index#", "[_index")or "PartitionFilters" in plan
+    s.update(d.where("_id = '2'").withColumn("_source", F.lit('{"doc":{"b":1}}')).union(d.where("_id = '2'").withColumn("_source", F.lit('{"c":2}')).withColumn("_timestamp", F.col("_timestamp") + 1)))
+    want["2"] |= {"b": 1, "c": 2}
+    assert {r["_id"]: json.loads(r["_source"]) for r in s.read(["x:1"]).collect()} == want
+    with pytest.raises(UpdateNotAllowed):
+        s.update(d, id_enabled=False)
+    plan = s.read(["x:1"]).where("_timestamp >= 5")._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
+    assert all("_index" in a for a, _ in scans) and any("GreaterThanOrEqual(_timestamp,5)" in b and "EqualTo(_seq,0)" in b for _, b in scans)
     c = Catalog(spark, s)
     assert c.documents(c.matching("X:*")).count() == 2
     s.drop("x:1")

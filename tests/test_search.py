@@ -35,6 +35,19 @@ def test_sort_by_kind_number_text(spark, variant):
     assert ids(e.search("docs", {"sort": [{"v": {"order": "desc"}}], "size": 20}).hits)[0] == "4"
 
 
+def test_blank_at_the_end_of_a_match(spark):
+    e = engine_of(spark, sources=[{"m": "alpha beta"}, {"m": "gamma"}])
+    for text, n in (("alpha ", 1), ("alpha  ", 1), ("alpha gamma ", 2)):
+        assert e.search("docs", {"query": {"match": {"m": text}}}).total.first()[0] == n
+
+
+def test_range_buckets_of_dates(spark):
+    df = spark.sql("select timestamp'2024-01-01' t union all select timestamp'2024-01-03' union all select timestamp'2024-02-01'")
+    aggs = {"r": {"range": {"field": "t", "ranges": [{"to": "2024-01-02"}, {"from": "2024-01-02", "to": "2024-02-01"}, {"from": "2024-02-01"}]}}}
+    r = Engine(spark).table(df, {"size": 0, "aggs": aggs}).to_dict()
+    assert [b["doc_count"] for b in r["aggregations"]["r"]["buckets"]] == [1, 1, 1]
+
+
 def test_targets(spark):
     e = engine_of(spark, "message-logs-2018-03-15t23:00:00")
     for n in ("message-logs-2018-03-16t00:00:00", "message-logs-2018-03-16t01:00:00"):
