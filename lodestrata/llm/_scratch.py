@@ -1,29 +1,17 @@
 """Tables that cut lineage, kept in the folder all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-unset (tests on one machine) does a local temporary folder stand in.
+unset and the master is this machine alone (tests) does a temporary folder stand in.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="lodestrata-"))
-        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
-    return f"file://{_fallback[0]}"
+from ..operators.place import shared_dir
 
 
 class Scratch:
@@ -33,7 +21,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
         self.made = 0
-        self.paths: dict[int, str] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         """df, written as Parquet and read again."""
@@ -41,7 +28,6 @@ class Scratch:
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -55,3 +41,15 @@ class Scratch:
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle whose number must be given."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -20,6 +20,7 @@ Defined cases
 * null or empty text: no tokens, no position, not in the result.
 * null source: a source of its own.  A source without a schedule isn't used.
 * ties and repeated rows: equal (doc_id, text) follow each other.  Null doc_id: as ''.
+* very long texts: their length and MD5 count, the whole of them.
 * an empty table gives an empty result; columns with any names are carried by ``mix``.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
-START, END, MAX_EPOCHS, DIGITS = 0.5, 1.0, 4, 3
+START, END, DIGITS = 0.5, 1.0, 3
 NULL_SOURCE = "\x00"
 
 
@@ -131,7 +132,7 @@ w as (select src, supply, (sum(supply) over ())::bigint budget,
              round(pow(supply, {START}) / sum(pow(supply, {START})) over (), 12) w0,
              round(pow(supply, {END}) / sum(pow(supply, {END})) over (), 12) w1 from sup),
 p as (select *, (w0 + w1) * (1.0::double - 0.0::double) / 2 share,
-             least({MAX_EPOCHS}, ceil((w0 + w1) * (1.0::double - 0.0::double) / 2 * budget / supply))::int epochs from w),
+             ceil((w0 + w1) * (1.0::double - 0.0::double) / 2 * budget / supply)::int epochs from w),
 s as (select d.*, (coalesce(sum(tok) over (partition by src order by ord rows between unbounded preceding and 1 preceding), 0))::bigint before from d),
 e as (select s.*, p.supply, p.budget, p.w0, p.w1, p.share, unnest(range(0, p.epochs))::int epoch from s join p using (src)),
 c as (select *, before + epoch * supply source_start, (before + epoch * supply)::double / budget x from e)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ._scratch import Scratch, width
+from ._scratch import Scratch, columns, free, width
 from ._text import U, Words, binary, blocks
 from .components import components
 
@@ -365,13 +365,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     known = docs.where("doc_id is not null and text is not null")
-    rest = docs.where("doc_id is null or text is null").select(*docs.columns)
+    rest = docs.where("doc_id is null or text is null").select(*columns(docs))
     twice = scratch.table(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     g = scratch.table(groups(docs, **options).select("doc_id"))
-    lone = known.join(g.union(twice).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns).union(rest)
+    lone = known.join(g.union(twice).hint("shuffle_hash"), "doc_id", "left_anti").select(*columns(docs)).union(rest)
     if twice.isEmpty():
         return lone
-    w = Window.partitionBy("doc_id").orderBy("__lode_h")
+    h, n = free(docs, "__lode_h"), free(docs, "__lode_n")
+    w = Window.partitionBy("doc_id").orderBy(h)
     more = known.join(twice, "doc_id", "left_semi").join(g, "doc_id", "left_anti")
-    more = more.withColumn("__lode_h", F.xxhash64("text")).withColumn("__lode_n", F.row_number().over(w)).where("__lode_n = 1")
-    return lone.union(more.select(*docs.columns))
+    more = more.withColumn(h, F.xxhash64("text")).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1)
+    return lone.union(more.select(*columns(docs)))

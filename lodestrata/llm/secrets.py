@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ._scratch import columns
 from ._text import blocks
 from .automaton import Dfa, compiled, hits, spans
 
@@ -131,4 +132,4 @@ def redact(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     made = docs.withColumn("text", F.coalesce(masker(rules)("text"), "text"))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return made.select(*docs.columns)
+    return made.select(*columns(docs))

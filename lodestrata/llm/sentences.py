@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ._scratch import Scratch
+from ._scratch import Scratch, columns, free
 from ._text import U, Words, blocks, mix, powers
 
 WORDS = 20
@@ -152,9 +152,10 @@ def cutter(words: int):
 
 def remove(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of docs without the sentences that a non-first repeated span covers."""
-    cuts = again(docs, words).groupBy(F.col("doc_id").alias("__lode_id")).agg(F.collect_list(F.struct("hash", "place")).alias("__lode_cut"))
-    d = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts["__lode_id"], "left")
-    d = d.withColumn("text", cutter(words)("text", F.col("__lode_cut.hash"), F.col("__lode_cut.place")))
+    key, cuts_at = free(docs, "__lode_id"), free(docs, "__lode_cut")
+    cuts = again(docs, words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("hash", "place")).alias(cuts_at))
+    d = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts[key], "left")
+    d = d.withColumn("text", cutter(words)("text", F.col(f"{cuts_at}.hash"), F.col(f"{cuts_at}.place")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__lode_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(F.col(cuts_at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return d.select(*columns(docs))

@@ -22,6 +22,7 @@ Defined cases
 * fewer words than ``words``: nothing is removed.
 * first: the least (doc_id, place); rows that repeat a doc_id are one document.
 * very long texts: read whole.  Runs that overlap themselves: all but the first are covered.
+* doc_id must be a whole number or its text; any other raises Spark's error of the cast.
 * an empty table gives an empty result; columns besides doc_id and text are not
   read by ``repeats``; ``remove`` returns all, n_chars made anew where there is one.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ._scratch import Scratch, width
+from ._scratch import Scratch, columns, free, width
 from ._text import U, Words, blocks, mix, powers
 from .sentences import lowered
 
@@ -317,8 +318,9 @@ def cut(text: pa.Array, runs: pa.Array) -> pa.Array:
 
 def remove(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """The rows of docs without the passages that occur before."""
-    cuts = repeats(docs, least, gram).groupBy(F.col("doc_id").alias("__lode_id")).agg(F.collect_list(F.struct("start", "end")).alias("__lode_cut"))
-    d = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts["__lode_id"], "left").withColumn("text", cut("text", "__lode_cut"))
+    key, cuts_at = free(docs, "__lode_id"), free(docs, "__lode_cut")
+    cuts = repeats(docs, least, gram).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts_at))
+    d = docs.join(cuts.hint("merge"), docs["doc_id"] == cuts[key], "left").withColumn("text", cut("text", cuts_at))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__lode_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(F.col(cuts_at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return d.select(*columns(docs))

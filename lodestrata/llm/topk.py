@@ -16,6 +16,7 @@ Defined cases
 * vectors of different lengths are never compared.
 * fewer than k others: as many as there are.  A query isn't its own result.
 * rows that repeat a vec_id: the one of least vector counts.  Equal scores: by vec_id.
+* vec_id must be a whole number or its text; any other raises Spark's error of the cast.
 * an empty table gives an empty result; other columns are not read.
 """
 

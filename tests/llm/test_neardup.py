@@ -151,3 +151,9 @@ def test_recall_among_thousands_that_share_a_template(spark):
     group = {x["doc_id"]: x["keeper"] for x in N.groups(frame(spark, [texts[i] for i in order])).collect()}
     got = sum(group.get(place[i], place[i]) == group.get(place[j], place[j]) for i, j in pairs)
     assert got >= 0.97 * len(pairs) and len(group) <= len(pairs)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "same text", 1, "u", 5, 6), (2, "same text", 2, "v", 5, 6)], "doc_id long, text string, __lode_h long, `meta.url` string, __lode_cut int, `a``b` int")
+    out = N.dedup(df)
+    assert out.schema == df.schema and out.count() == 1

@@ -150,3 +150,9 @@ def test_prefixed_names_and_headers_of_keys(spark):
     out = [r["text"] for r in S.redact(df).orderBy("doc_id").collect()]
     assert out[:7] == [f"see <{'PASSWORD' if 'assword' in x.lower() else 'ASSIGNED'}> here" for x in whole] + ["see <PRIVATE_KEY> here"]
     assert out[7] == "my.app-<PASSWORD>" and out[8] == texts[8]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "token", 1, "u", 5, 6), (2, "token", 2, "v", 5, 6)], "doc_id long, text string, __lode_h long, `meta.url` string, __lode_cut int, `a``b` int")
+    out = S.redact(df)
+    assert out.schema == df.schema and out.count() == 2

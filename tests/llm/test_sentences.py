@@ -36,13 +36,23 @@ def brute(docs, n):
         h = Words(S.lowered(d), np.array([0, len(d)])).hash.tolist() if len(d) else []
         assert len(h) == len(at)
         ends = [k for k in range(len(at)) if k == 0 or re.search(rb"[.!?,;:\n\r]", raw[at[k - 1][1] : at[k][0]]) or h[k - 1] % S.PICKED == 0] + [len(at)]
+        runs = set()
         for u in range(len(ends) - 1):
             v = u + 2
             while v < len(ends) and ends[v] - ends[u] < n:
                 v += 1
             if v < len(ends):
-                key = tuple(raw[a:b].lower() if raw[a:b].isascii() else S.lowered(np.frombuffer(raw[a:b], np.uint8)).tobytes() for a, b in at[ends[u] : ends[v]])
-                spans.append((key, i, at[ends[u]][0], at[ends[v]][0] if ends[v] < len(at) else len(raw)))
+                runs.add((u, v))
+            v, w = u + 1, u - 1  # and back from the sentence's end
+            while w >= 0 and ends[v] - ends[w] < n:
+                w -= 1
+            if w >= 0:
+                runs.add((w, v))
+        if len(ends) > 2 and len(at) < n:
+            runs.add((0, len(ends) - 1))
+        for u, v in runs:
+            key = tuple(raw[a:b].lower() if raw[a:b].isascii() else S.lowered(np.frombuffer(raw[a:b], np.uint8)).tobytes() for a, b in at[ends[u] : ends[v]])
+            spans.append((key, i, at[ends[u]][0], at[ends[v]][0] if ends[v] < len(at) else len(raw)))
     first: dict = {}
     for key, i, a, b in spans:
         p = (i, a << 32 | b)
@@ -153,3 +163,10 @@ def test_every_repeated_run_is_found(spark):
     assert got[2] == set(range(len(p))) and got[4] == set(range(len(short)))
     out = {x["doc_id"]: x["text"] for x in S.remove(frame(spark, docs)).collect()}
     assert (out[1], out[2], out[3], out[4], out[7]) == (p, "", short, "", "Alone")
+
+
+def test_names_that_clash(spark):
+    p = passage(80)
+    df = spark.createDataFrame([(1, p, 1, "u", 5, 6), (2, p + " x", 2, "v", 5, 6)], "doc_id long, text string, __lode_id long, `meta.url` string, __lode_cut int, `a``b` int")
+    out = S.remove(df)
+    assert out.schema == df.schema and out.count() == 2

@@ -115,3 +115,9 @@ def test_query_against_brute_force(spark, sf):
 
     docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert covers(QUERIES["op8_suffix_array_dedup"](spark, sf).collect()) == brute(docs, S.MIN_WORDS)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "word word word", 1, "u", 5, 6), (2, "word word word", 2, "v", 5, 6)], "doc_id long, text string, __lode_h long, `meta.url` string, __lode_cut int, `a``b` int")
+    out = S.remove(df)
+    assert out.schema == df.schema and out.count() == 2
