@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Defined cases
+* null or empty text: the quality classifier rejects it.
+* null doc_id: never a near duplicate; stays, and is packed under a null doc_id.
+* null source: a source of its own.  Rows that repeat a doc_id: one of them stays.
+* very long texts: whole in every stage.  An empty table gives an empty result.
+* other columns, whatever their names, go along to the last stage; packing returns its own.
+"""
 
 from __future__ import annotations
 
@@ -49,8 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each reading what the one before has written."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = scratch.table(docs)
+            if before is not None:
+                scratch.drop(before)  # the stage after it is written
+            before = docs
     return docs
