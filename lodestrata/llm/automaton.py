@@ -184,6 +184,15 @@ class Dfa:
     def classes(self) -> int:
         return int(self.cls.max()) + 1
 
+    def listed(self) -> list[int]:
+        """The table as a list, made once in a process."""
+        if "_list" not in self.__dict__:
+            self._list = self.table.tolist()
+        return self._list
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_list"}
+
 
 def relaxed(tree, most: int):
     """A tree that matches all that ``tree`` does, and counts no further than ``most``."""
@@ -316,11 +325,11 @@ def hits(dfa: Dfa, d: np.ndarray, o: np.ndarray, lanes: int = 24) -> np.ndarray:
         state[:live] = s
         found[order[:live]] |= seen
         j = stop
-    table, accepting = None, dfa.accepting
+    accepting = dfa.accepting
     for lane in range(live):
         if found[order[lane]]:
             continue
-        table = table or dfa.table.tolist()
+        table = dfa.listed()
         s = int(state[lane])
         for c in code[at[lane] + j : at[lane] + size[lane]].tolist():
             s = table[s + c]
@@ -341,7 +350,7 @@ def spans(dfa: Dfa, d: np.ndarray, every: int = 16) -> list[tuple[int, int, int]
     ok = np.ones(len(d), bool)
     ok[1:] = ~IS_WORD[d[:-1]]
     starts = np.flatnonzero(ok & (dfa.table[dfa.start + code] > 0))
-    table, codes, n, accepting = dfa.table.tolist(), code.tolist(), len(d), dfa.accepting
+    table, codes, n, accepting = dfa.listed(), code.tolist(), len(d), dfa.accepting
     known: dict[tuple[int, int], tuple[int, int]] = {}
     out, last = [], 0
     for first in starts.tolist():
