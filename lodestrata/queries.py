@@ -218,7 +218,7 @@ sorted_nulls("q_sort_nulls_first", "desc", "asc", "s desc nulls first, o_orderke
 
 @query(f"select event_id::varchar _id, row_number() over (order by case when not list_contains(json_keys(src), 'k') then null when src::json->>'k' is null then 0 else 2 end desc nulls first, (src::json->>'k')::double desc nulls first, event_id::varchar) place from {EVENTS}")
 def q_sort_json(spark, sf_dir):
-    return placed(engine(spark, sf_dir).search("events", {"sort": [{"k": "desc"}, "_id"], "size": 10}).ordered).select("_id", "place")
+    return placed(engine(spark, sf_dir).search("events", {"sort": [{"k": "desc"}, "_id"], "size": 10}).ordered.select("_id"))
 
 
 @query("select event_id::varchar _id, 1.0::double _score from events where event_type = 'signup'")

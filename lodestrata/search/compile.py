@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,16 @@ class Compiler:
         return reduce(and_, parts) if parts else F.lit(True)
 
 
-def sort_columns(fields: Fields, keys: tuple[t.SortKey, ...]) -> list[Column]:
+def sort_columns(fields: Fields, keys: tuple[t.SortKey, ...]) -> list[tuple[Column, bool]]:
+    """(column, falling) of each."""
+    return [(c, k.descending) for k in keys for c in fields.sort_keys(k.field)]
+
+
+def sort_by(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
     """Rising keys have nulls last, falling ones first."""
-    return [c.desc_nulls_first() if k.descending else c.asc_nulls_last() for k in keys for c in fields.sort_keys(k.field)]
+    start = "__key"
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    names = [f"{start}{i}" for i in range(len(keys))]
+    made = df.withColumns({n: c for n, (c, _) in zip(names, keys, strict=True)})
+    return made.orderBy(*[F.desc_nulls_first(n) if down else F.asc_nulls_last(n) for n, (_, down) in zip(names, keys, strict=True)]).drop(*names)

@@ -17,7 +17,7 @@ from ..plans import tree as t
 from ..plans.parse import parse_request
 from ..sources.catalog import Catalog
 from .aggregate import Frame, Planner, nested
-from .compile import Compiler, sort_columns
+from .compile import Compiler, sort_by, sort_columns
 
 
 @dataclass
@@ -35,8 +35,13 @@ class SearchResult:
 
     @property
     def ordered(self) -> DataFrame:
-        """All that match, in order: sorted by ranges, for what no page holds."""
-        return self.matched.orderBy(*sort_columns(self.fields, self.request.sort)) if self.request.sort else self.matched
+        """All that match, in order: sorted by ranges, for what no page holds.
+
+        Keys are columns of their own: Spark works out any other expression anew at every comparison.
+        """
+        if not self.request.sort:
+            return self.matched
+        return sort_by(self.matched, sort_columns(self.fields, self.request.sort))
 
     @property
     def hits(self) -> DataFrame:

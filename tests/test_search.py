@@ -175,3 +175,15 @@ def test_intervals():
 def test_table_hits(spark, sf):
     d = Engine(spark).table(spark.read.parquet(f"{sf}/nation.parquet"), json.dumps({"query": {"term": {"n_regionkey": 1}}, "size": 2})).to_dict()
     assert d["hits"]["total"] == 5 and len(d["hits"]["hits"]) == 2 and "n_name" in d["hits"]["hits"][0]["_source"]
+
+
+def test_sort_keys_are_worked_out_once(spark):
+    e = engine_of(spark, sources=[{"v": v} for v in (2, "b", None, 10, "a")])
+    found = e.search("docs", {"sort": [{"v": "desc"}, "_id"], "size": 10})
+    for df in (found.ordered, found.hits):
+        assert ids(df) == ["3", "0", "1", "4", "2"]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        orders = [x for x in plan.splitlines() if "Sort [" in x]
+        assert orders and not any("json" in x or "variant" in x or "CASE" in x for x in orders)
+    own = spark.createDataFrame([(1, 9), (2, 8)], "a long, __key0 long")
+    assert [tuple(r) for r in Engine(spark).table(own, {"sort": ["__key0"], "size": 5}).hits.collect()] == [(2, 8), (1, 9)]
