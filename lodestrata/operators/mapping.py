@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .place import shared_dir
+
+OBJECT, ARRAY, NESTED = "map<string,variant>", "array<variant>", "^(OBJECT|ARRAY)"
+
 DATE = r"^\d{4}-\d{2}(?:-\d{2}(?:[Tt ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:[Zz]|[+\-]\d{2}:?\d{2})?)?)?$"
 
 
@@ -42,26 +49,50 @@ def infer(docs: DataFrame, version: int = 2) -> DataFrame:
     return out.select("_index", "_type", "field", "m.type", F.col("m.format").alias("format") if version == 2 else F.lit(None).cast("string").alias("format"))
 
 
-def leaves(docs: DataFrame, *carried: str, indexed: bool = False) -> DataFrame:
-    """(carried..., field, value): every leaf under its path; array places are left out, or ``[i]``.
+def pair(field: Column, value: Column) -> Column:
+    return F.struct(field.alias("field"), value.alias("value"))
+
 
-    One level at a time, until no object or array is left among the values.
+def leaves(source: Column, levels: int, indexed: bool = False) -> Column:
+    """An array of (field, value): every leaf under its path; array places are left out, or ``[i]``.
+
+    Objects and arrays that lie deeper than so many levels are still among the values;
+    see ``whole``.  Null where the text is no JSON object.
+    """
+
+    def opened(x: Column) -> Column:
+        name = lambda i: F.concat(x["field"], F.lit("["), i.cast("string"), F.lit("]")) if indexed else x["field"]
+        inner = F.transform(F.map_entries(F.try_variant_get(x["value"], "$", OBJECT)), lambda e: pair(F.concat_ws(".", x["field"], e["key"]), e["value"]))
+        items = F.transform(F.try_variant_get(x["value"], "$", ARRAY), lambda e, i: pair(name(i), e))
+        return F.coalesce(inner, items, F.array(pair(x["field"], x["value"])))
+
+    level = F.transform(F.map_entries(F.try_variant_get(F.try_parse_json(source), "$", OBJECT)), lambda e: pair(e["key"], e["value"]))
+    for _ in range(levels):
+        level = F.flatten(F.transform(level, opened))
+    return level
+
+
+def whole(spark: SparkSession, made: Callable[[int], DataFrame], levels: int = 2) -> DataFrame:
+    """made(levels), for levels enough that its column ``deeper`` is true nowhere.
+
+    The table is written, so that nothing is read twice to know; it is made again, twice
+    as deep, only where it was not whole.
     """
-    spark = docs.sparkSession
-    level = top_level(docs, *carried).select(*carried, F.col("key").alias("field"), "value")
-    out = None
     while True:
-        nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-        flat = level.where(~nested)
-        out = flat if out is None else out.unionByName(flat)
-        deeper = level.where(nested)
-        if deeper.isEmpty():
-            break
-        name = F.when(F.col("key").isNull(), F.concat("field", F.lit("["), F.col("pos"), F.lit("]")) if indexed else F.col("field")).otherwise(F.concat_ws(".", "field", "key"))
-        level = deeper.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select("pos", "key", F.col("value").alias("inner"))).select(*carried, name.alias("field"), F.col("inner").alias("value"))
-    return out
+        df = made(levels)
+        path = f"{shared_dir(spark)}/leaves-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        if out.where("deeper").isEmpty():
+            return out.drop("deeper")
+        levels *= 2
 
 
 def field_names(docs: DataFrame, indexed: bool = False) -> DataFrame:
     """(_index, _type, field): the paths of all leaves."""
-    return leaves(docs, "_index", "_type", indexed=indexed).select("_index", "_type", "field").distinct()
+
+    def names(levels: int) -> DataFrame:
+        rows = docs.select("_index", "_type", F.explode(leaves(F.col("_source"), levels, indexed)).alias("x"))
+        return rows.select("_index", "_type", "x.field", F.schema_of_variant("x.value").rlike(NESTED).alias("deeper")).distinct()
+
+    return whole(docs.sparkSession, names)

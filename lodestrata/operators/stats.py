@@ -11,19 +11,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import words
-from .mapping import leaves
+from .mapping import NESTED, leaves, whole
 
 KINDS = ("String", "Boolean", "Long", "Double")
+MARKS = {"Boolean": 1, "Long": 2, "Double": 4, "String": 8}
 KEEP_MINUS = "case when min({0}) < 0 then -1 else sum({0}) end"
 
 
-def values(docs: DataFrame) -> DataFrame:
-    """(_index, doc, field, kind, text): the leaves, with their kind: String, Boolean, Long or Double; nulls are skipped."""
-    d = docs.select("_index", F.concat_ws("\x00", "_type", "_id").alias("doc"), "_source")
-    v = leaves(d, "_index", "doc")
-    kind = F.schema_of_variant("value")
-    named = F.when(kind == "STRING", "String").when(kind == "BOOLEAN", "Boolean").when(kind == "BIGINT", "Long").when(kind != "VOID", "Double")
-    return v.select("_index", "doc", "field", named.alias("kind"), F.variant_get("value", "$", "string").alias("text")).where("kind is not null")
+def values(d: DataFrame, levels: int) -> DataFrame:
+    """(_index, doc, field, kind, text, marks): the leaves, with their kind: String, Boolean, Long or Double, or Nested; nulls are skipped.
+
+    marks: bits of what this leaf is the first of in its row: of its field and kind, and (String)
+    of all that may count as a string.
+    """
+    named = lambda k: F.when(k == "STRING", "String").when(k == "BOOLEAN", "Boolean").when(k == "BIGINT", "Long").when(k.rlike(NESTED), "Nested").when(k != "VOID", "Double")
+    found = F.transform(leaves(F.col("_source"), levels), lambda x: F.struct(x["field"].alias("field"), F.schema_of_variant(x["value"]).alias("k"), x["value"].alias("value")))
+    found = F.transform(found, lambda x: F.struct(x["field"].alias("field"), named(x["k"]).alias("kind"), F.try_variant_get(x["value"], "$", "string").alias("text")))
+    # Sorted, a leaf is the first of its sort where the one before is of another; Boolean comes before all other kinds.
+    rows = d.select("_index", "doc", F.sort_array(F.filter(found, lambda x: x["kind"].isNotNull())).alias("all"))
+    rows = rows.select("_index", "doc", F.explode(F.transform("all", lambda x, i: F.struct(x.alias("x"), F.get("all", i - 1).alias("before")))).alias("at")).select("_index", "doc", "at.x.*", "at.before")
+    kind, same = F.col("kind"), F.coalesce(F.col("before.field") == F.col("field"), F.lit(False))
+    first = ~same | (F.col("before.kind") != kind)
+    text = (kind != "Boolean") & (~same | (F.col("before.kind") == "Boolean"))
+    bits = [F.when(first & (kind == k), bit) for k, bit in MARKS.items() if k != "String"] + [F.when(text, MARKS["String"])]
+    return rows.withColumn("marks", sum((F.coalesce(x, F.lit(0)) for x in bits), F.lit(0))).drop("before")
+
+
+def by_field(d: DataFrame, levels: int, once: bool) -> DataFrame:
+    """Counts and bounds of each field, whatever kind it turns out to have.
+
+    once: no document is in two rows, so the marks of a row are those of its document, and
+    no leaf need leave its task before it is counted.
+    """
+    v = values(d, levels)
+    is_ = {k: F.col("kind") == k for k in KINDS}
+    number = F.col("text").try_cast("double")
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    w = words(F.col("text"))
+    word = lambda f: F.when(is_["String"], f(w)).when(is_["Long"] | is_["Double"], F.col("text"))
+    marked = [F.count(F.when(F.col("marks").bitwiseAND(bit) > 0, 1)).alias(f"docs_{k}") for k, bit in MARKS.items()]
+    rest = [
+        *[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in is_.items()],
+        F.sum(F.when(~is_["Boolean"], spaces + 1)).alias("freq"),
+        F.min(word(F.array_min)).alias("lo_word"),
+        F.max(word(F.array_max)).alias("hi_word"),
+        *[f(F.when(is_[k], number)).alias(f"{n}_{k}") for k in ("Long", "Double") for n, f in (("lo", F.min), ("hi", F.max))],
+        # A set, not max: with it the aggregate is by hash; with bounds of text alone Spark sorts all leaves first.
+        (F.size(F.collect_set(F.when(F.col("kind") == "Nested", True))) > 0).alias("deeper"),
+    ]
+    if once:
+        return v.groupBy("_index", "field").agg(*marked, *rest)
+    own = v.where("marks > 0").groupBy("_index", "field", "doc").agg(F.bit_or("marks").alias("marks")).groupBy("_index", "field").agg(*marked)
+    both = v.groupBy("_index", "field").agg(*rest).unionByName(own, allowMissingColumns=True)
+    return both.groupBy("_index", "field").agg(*[F.max(c).alias(c) for c in both.columns[2:]])  # a column has a value in one of the two
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -31,30 +71,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
     A field that has strings anywhere is a String field, and its numbers count as
     strings; of other mixtures the most frequent kind counts and the rest is dropped.
+    Rows of one index, type and id are one document.
     """
-    v = values(docs)
+    d = docs.select("_index", F.concat_ws("\x00", "_type", "_id").alias("doc"), "_source")
+    once = (d.groupBy(F.xxhash64("_index", "doc")).count().agg(F.max("count")).first()[0] or 0) < 2
+    f = whole(docs.sparkSession, lambda levels: by_field(d, levels, once))
     is_ = {k: F.col("kind") == k for k in KINDS}
-    text = F.col("kind") != "Boolean"
-    w, number = words(F.col("text")), F.col("text").try_cast("double")
-    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    # Whatever kind a field turns out to have, one pass over its values: by document, then by field.
-    doc = v.groupBy("_index", "field", "doc").agg(
-        *[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in is_.items()],
-        F.sum(F.when(text, spaces + 1)).alias("freq"),
-        F.min(F.when(text, F.array_min(w))).alias("lo_word"),
-        F.max(F.when(text, F.array_max(w))).alias("hi_word"),
-        *[f(F.when(is_[k], number)).alias(f"{n}_{k}") for k in ("Long", "Double") for n, f in (("lo", F.min), ("hi", F.max))],
-    )
-    has = {k: (F.col(f"n_{k}") > 0).cast("long") for k in KINDS}
-    some = (F.col("n_String") + F.col("n_Long") + F.col("n_Double") > 0).cast("long")
-    f = doc.groupBy("_index", "field").agg(
-        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS],
-        *[F.sum(has[k]).alias(f"docs_{k}") for k in KINDS if k != "String"],
-        F.sum(some).alias("docs_String"),
-        F.sum("freq").alias("freq"),
-        *[F.min(c).alias(c) for c in ("lo_word", "lo_Long", "lo_Double")],
-        *[F.max(c).alias(c) for c in ("hi_word", "hi_Long", "hi_Double")],
-    )
     rank = F.greatest(*[F.struct((F.lit(k == "String") & (F.sum(f"n_{k}") > 0)).alias("s"), F.sum(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS])
     f = f.join(f.groupBy("field").agg(rank["kind"].alias("kind")), "field")
     by = lambda c: F.coalesce(*[F.when(is_[k], c(k)) for k in KINDS])

@@ -214,3 +214,29 @@ def test_stream_buckets(spark, tmp_path):
 def test_document_rows_without_path(spark):
     d = documents(spark.createDataFrame([("i", "t", None, FLAT)], "_index string, _type string, _id string, _source string"), flatten=True).first()
     assert d["_id"] and d["_timestamp"] > 1_600_000_000_000 and json.loads(d["_source"])["array_2"] == 102
+
+
+def test_stats_read_each_document_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    d = rows(spark, [DOC] * 50).withColumn("_index", F.lit("i")).withColumn("_source", counted("_source"))
+    assert {r["field"] for r in stats.measure(d).collect()} == {*DOC, "obj.bic", "obj.iban", "listObjects.field"} - {"obj", "listObjects", "no"}
+    assert seen.value == 50
+    assert mapping.field_names(d).count() == 9 and seen.value == 100
+
+
+def test_stats_of_odd_documents(spark):
+    deep = {"a": [[[[{"b": [{"c": {"d": {"e": [1, "x y"]}}}]}]]]], "a.b": 2, "z": {}, "y": []}
+    d = rows(spark, [deep, {"a": {"b": 3}, "a.b": True}, {"a": {"b": [4, None]}}, "[1]", "{", {}]).withColumn("_index", F.lit("i"))
+    part = lambda df: {r["field"]: tuple(r)[2:5] + tuple(r)[6:] for r in stats.measure(df).collect()}
+    assert part(d) == {"a.b": ("Long", 3, 3, "2", "4"), "a.b.c.d.e": ("String", 1, 3, "1", "y")}
+    assert {r["field"] for r in mapping.field_names(d, indexed=True).where("field like '%e[%'").collect()} == {"a[0][0][0][0].b[0].c.d.e[0]", "a[0][0][0][0].b[0].c.d.e[1]"}
+    # Rows of one id are one document; those without an id are one of each type.
+    assert part(d.union(d.where("_id in ('1', '2')"))) == {"a.b": ("Long", 3, 5, "2", "4"), "a.b.c.d.e": ("String", 1, 3, "1", "y")}
+    assert part(d.withColumn("_id", F.lit(None).cast("string")))["a.b"] == ("Long", 1, 3, "2", "4")
+    assert part(d.limit(0)) == {}
